@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import ngramjoin
+from strandline.llm import ngramjoin, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.repeated_passages_removed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("kept", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return out.select("doc_id", "n_units", "n_removed", F.array_join(spans, ",").alias("kept_spans"), "text")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op9_ngram_join,)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
