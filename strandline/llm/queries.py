@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ngramjoin, substring
+from strandline.llm import ngramjoin, packing, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_removed", F.array_join(spans, ",").alias("kept_spans"), "text")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), training=lambda c: ~toxicity.held_out(c))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_best_fit_packing, op7_toxicity, op9_ngram_join)}
 ORACLE_SQL: dict[str, str] = {}
