@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ngramjoin, packing, substring, toxicity
+from strandline.llm import ngramjoin, packing, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), training=lambda c: ~toxicity.held_out(c))
@@ -33,5 +37,15 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_best_fit_packing, op7_toxicity, op9_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join)}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_normaliser": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+        m AS (SELECT payload_digest, max(page_id) AS holder FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, payload_bytes, d.payload_digest AS payload_digest,
+               CASE WHEN holder IS NOT NULL AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN holder IS NOT NULL AND holder <> page_id THEN holder END AS refers_to
+        FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000
+    """,
+}
