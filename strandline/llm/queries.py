@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import ngramjoin, packing, substring, toxicity, warc
+from strandline.llm import ngramjoin, packing, substring, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
