@@ -65,7 +65,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def arrow_rows(spark: SparkSession) -> None:
     """Ship this package, and keep Arrow batches small: rows can be long texts."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
