@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import media, ngramjoin, packing, substring, toxicity, vectors, warc
+from strandline.llm import licenses, media, ngramjoin, packing, substring, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_read(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.repeated_passages_removed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("kept", lambda x: F.concat_ws("-", x["start"], x["end"]))
@@ -45,7 +49,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_license_scan, op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
