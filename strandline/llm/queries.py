@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import licenses, media, ngramjoin, packing, substring, toxicity, vectors, warc
+from strandline.llm import licenses, media, ngramjoin, packing, substring, toxicity, vectors, warc, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -49,7 +53,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_license_scan, op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op9_ngram_join, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_license_scan, op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op8_main_text, op9_ngram_join, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
