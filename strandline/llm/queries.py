@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import licenses, media, ngramjoin, packing, substring, toxicity, vectors, warc, wrapper
+from strandline.llm import licenses, media, mixing, ngramjoin, packing, substring, toxicity, vectors, warc, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_removed", F.array_join(spans, ",").alias("kept_spans"), "text")
 
 
+def op4_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_license_scan, op3_substring_dedup, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op8_main_text, op9_ngram_join, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_license_scan, op3_substring_dedup, op4_mixing_weights, op5_best_fit_packing, op6_warc_normaliser, op7_toxicity, op8_main_text, op9_ngram_join, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op6_warc_normaliser": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
