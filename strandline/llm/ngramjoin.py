@@ -359,9 +359,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id.
 
-    Rows without shingles and rows with a null id stay. Of rows that repeat an id, all
-    that belong to the kept id stay only if their texts are equal to its first; repeats of one id are one row.
+    Rows without shingles and rows with a null id stay, and so do all rows that repeat an id that stays.
     """
     found = jaccard_components(docs, n, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = common.table(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if common.small(gone) else gone, id_col, "left_anti").select(*docs.columns)
