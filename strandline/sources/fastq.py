@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,15 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def first_record(lines: list[bytes]) -> int:
-    """Number of the first line that begins a record: a title, three lines before the next one, a plus line between.
+def first_record(lines: list[bytes]) -> int | None:
+    """Number of the first line that begins a record, or None: a title, three lines before the next one, a plus line between.
 
     A quality line may begin with @ or +, so one line does not tell; its length must equal the sequence's.
     """
     for i in range(min(4, len(lines))):
         if lines[i].startswith(b"@") and i + 3 < len(lines) and lines[i + 2].startswith(b"+") and len(lines[i + 1]) == len(lines[i + 3]):
             return i
-    return 0
+    return None
 
 
 def four_lines(title: bytes, sequence: bytes, plus: bytes, scores: bytes) -> tuple:
@@ -62,7 +63,7 @@ class FastqReader(DataSourceReader):
         store, _ = self._files()
         with store.open_input_file(partition.path) as raw:
             kind = partition.path.rsplit(".", 1)[-1]
-            stream = _OPENERS[kind](raw, "rb") if kind in _OPENERS else raw
+            stream = _OPENERS[kind](raw, "rb") if kind in _OPENERS else io.BufferedReader(raw, 1 << 20)
             at = partition.start
             if at:
                 stream.seek(at - 1)
@@ -78,9 +79,14 @@ class FastqReader(DataSourceReader):
                 return bool(data)
 
             if partition.start:
-                while len(held) < 8 and line():
-                    pass
-                del held[: first_record([x for _, x in held])]
+                begin = None
+                while begin is None:
+                    while len(held) < 8 and line():
+                        pass
+                    begin = first_record([x for _, x in held])
+                    if begin is None and len(held) < 8:
+                        return  # what is left belongs to a record of the range before
+                    del held[: 4 if begin is None else begin]
             while True:
                 while len(held) < 4 and line():
                     pass
