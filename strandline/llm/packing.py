@@ -36,7 +36,7 @@ STEPS, ROUNDS = 60_000, (1, 4, 16, 64)
 #: Pieces of a length and share that are ranked together, on average at most.
 SHARE = 20_000
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 900_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -65,32 +65,31 @@ class FastIds:
         self._odd = re.compile("[^\0-\x1b\x20-\u024f]|<\\|").search
 
         self._known: dict[str, bytes] = {}
+        self._model = self._whole.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        self._bytes = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        found = self._whole.encode(" ".join(new), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(new) + 1)) * 4
-        data = ids.tobytes()
-        self._known.update((w, data[a:b]) for w, a, b in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    def _learn(self, word: str) -> bytes:
+        if len(self._known) >= CACHE:
+            self._known.clear()
+        # the model sees a character for each byte
+        token = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._bytes)
+        self._known[word] = out = np.array([t.id for t in self._model.tokenize(token)], "<u4").tobytes()
+        return out
 
     def __call__(self, text: str) -> bytes:
         low = text.lower()
         if "<|" in low if low.isascii() else self._odd(low):
             return self._encode(text)
-        parts = self._split(low)
-        try:
-            return b"".join(map(self._known.__getitem__, parts))
-        except KeyError:
-            own = set(parts)
-            if len(self._known) > CACHE:
-                self._known.clear()
-            new = [w for w in own if w not in self._known]
-            for i in range(0, len(new), 4096):
-                self._learn(new[i : i + 4096])
-            return b"".join(map(self._known.__getitem__, parts))
+        parts, known = self._split(low), self._known
+        found = list(map(known.get, parts))
+        if None in found:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = known.get(parts[i]) or self._learn(parts[i])
+        return b"".join(found)
 
 
 @lru_cache(2)
