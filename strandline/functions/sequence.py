@@ -98,8 +98,8 @@ def hash32(ids: pd.Series) -> pd.Series:
 
 
 def sniff_format(head: Column) -> Column:
-    """FASTA, FASTQ or CONTAINER by the first characters; null if none of them."""
-    return F.when(head.startswith(">"), "FASTA").when(head.startswith("@"), "FASTQ").when(head.startswith("sfasta"), "CONTAINER")
+    """FASTA, FASTQ or CONTAINER (a dataset's Parquet file) by the first characters; null if none of them."""
+    return F.when(head.startswith(">"), "FASTA").when(head.startswith("@"), "FASTQ").when(head.startswith("PAR1"), "CONTAINER")
 
 
 #: First bytes (hex) of compressed files.

@@ -201,7 +201,7 @@ def presets(spark, sf_dir):
 
 
 def sniff_format(spark, sf_dir):
-    head = F.concat(F.element_at(F.array(F.lit(">"), F.lit("@"), F.lit("sfasta"), F.lit("z")), (F.col("item_id") % 4 + 1).cast("int")), "text")
+    head = F.concat(F.element_at(F.array(F.lit(">"), F.lit("@"), F.lit("PAR1"), F.lit("z")), (F.col("item_id") % 4 + 1).cast("int")), "text")
     return _table(spark, sf_dir, "benchmark").select("item_id", sq.sniff_format(head).alias("format"))
 
 
