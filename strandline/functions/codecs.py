@@ -48,6 +48,19 @@ def resolve(preset: str = "default", codec: str | None = None, level: int | None
     return {"codec": own, "level": own_level, "block_kib": block_kib or block}
 
 
+#: The order in which flags are applied; the last one that is given counts.
+PRESET_ORDER = ("fast", "fastest", "small", "smallest")
+CODEC_ORDER = ("ZSTD", "XZ", "BROTLI", "GZIP", "SNAPPY", "NONE", "BZIP2", "LZ4")
+
+
+def resolve_flags(flags: set[str], level: int | None = None, block_kib: int | None = None) -> dict:
+    """The choice that a set of flags comes to: preset names and codec names; codecs override presets."""
+    names = {f.lower() for f in flags}
+    preset = next((p for p in reversed(PRESET_ORDER) if p in names), "default")
+    codec = next((c for c in reversed(CODEC_ORDER) if c.lower() in names), None)
+    return resolve(preset, codec, level, block_kib)
+
+
 def writer_options(choice: dict) -> dict[str, str]:
     """Parquet options for a choice; codecs that Parquet lacks become the strongest ZSTD."""
     codec, level = choice["codec"], choice["level"]

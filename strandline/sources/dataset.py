@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import codecs
 from strandline.functions import sequence as sq
 from strandline.operators import lookup
+from strandline.sources import fasta, fastq
 
 RECORDS = "ordinal long, id string, header string, sequence string, mask array<struct<start:int,len:int>>, scores string, n_bytes long"
 METADATA = "created_by string, citation_doi string, citation_url string, citation_authors string, date_created long, title string, description string, notes string, download_url string, homepage_url string, version int, block_size int"
@@ -50,6 +51,19 @@ def unmasked_text(mask: str = "mask", sequence: str = "sequence"):
     return F.when(F.col(mask).isNull(), text).otherwise(F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(before, -1) + 1, F.length(text))))
 
 
+def convert(spark: SparkSession, path: str, target: str, **options) -> None:
+    """Turn FASTA or FASTQ text, told apart by its first character, into a dataset; bad records are left out."""
+    head = spark.read.text(path).where("value <> ''").select(sq.sniff_format(F.col("value")).alias("kind")).first()
+    if head is None or head.kind == "FASTA":
+        own = fasta.read_fasta(spark, path).withColumn("scores", F.lit(None).cast("string"))
+    elif head.kind == "FASTQ":
+        own = fastq.read_fastq(spark, path)
+        own = own.withColumn("offset_key", F.struct(F.expr(f"at div {64 << 20}").alias("split"), F.col("at").alias("row"))).drop("at")
+    else:
+        raise ValueError(f"{path}: neither FASTA nor FASTQ")
+    write_dataset(fasta.numbered(own.where("_corrupt is null")), target, **options)
+
+
 def write_fasta(records: DataFrame, path: str, width: int = 60, compression: str | None = None) -> None:
     """One text record a row; the last line feed is the line separator's."""
     text = lookup.fasta_text(F.col("id"), F.col("header"), F.col("sequence"), width)

@@ -80,6 +80,22 @@ def test_codecs():
     assert codecs.writer_options(codecs.resolve("smallest"))["compression"] == "zstd"
 
 
+def test_flags_in_order():
+    assert codecs.resolve_flags({"smallest", "fast"})["codec"] == "XZ"
+    assert codecs.resolve_flags({"small", "zstd", "lz4"})["codec"] == "LZ4"
+    assert codecs.resolve_flags(set(), level=3)["level"] == 9
+
+
+def test_convert(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("@r1 x\nacGT\n+\nIIII\n@r2\nGG\n+\n@@\n")
+    (tmp_path / "a.fa").write_text(">s1\nAC\ngt\n>s2 h\nTT\n")
+    dataset.convert(spark, str(tmp_path / "a.fastq"), str(tmp_path / "q"))
+    dataset.convert(spark, str(tmp_path / "a.fa"), str(tmp_path / "f"), preset="fast", codec="gzip", level=4)
+    own = [tuple(r) for r in scan.linear(dataset.read_dataset(spark, str(tmp_path / "q")), "ordinal", "id", "sequence", "scores").collect()]
+    assert own == [(0, "r1", "ACGT", "IIII"), (1, "r2", "GG", "@@")]
+    assert [(r.id, r.x) for r in dataset.read_dataset(spark, str(tmp_path / "f")).orderBy("ordinal").select("id", dataset.unmasked_text().alias("x")).collect()] == [("s1", "ACgt"), ("s2", "TT")]
+
+
 def test_lookups(spark):
     own = spark.createDataFrame([(0, "a", "h", "ACGT"), (1, "b", None, "GG"), (2, "a", "h2", "TT")], "ordinal long, id string, header string, sequence string")
     hits = lookup.find_many(own, lookup.requests(own, ["b", "x", "b"]), 3).orderBy("pos").collect()
