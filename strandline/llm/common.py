@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 
@@ -69,6 +70,12 @@ def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; it looks at one row more at most a partition."""
     return df.limit(rows + 1).count() <= rows

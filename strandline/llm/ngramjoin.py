@@ -8,8 +8,8 @@ How it works. Shingles are hashed into groups. Two linked sets with |A| + |B| =
 s differ in at most d = s * (100 - p) / (100 + p) shingles, so of any d + 1 groups one
 at least holds the same shingles in both. A *cell* of the index is a size
 band, a group and that group's content; a set is filed in the cell of each of its
-groups, and every link meets in some cell. In a cell, the first and the last
-member are held against all others, which joins up nearly all groups of near
+groups, and every link meets in some cell. In a cell, the first
+member is held against all others, which joins up nearly all groups of near
 copies in linear work. Cells whose members are still in several
 components get an R-tree over the vectors of counts of shingles by group of 64:
 a pair of nodes or points is left out when the sum of the coordinates' minima, which
@@ -31,7 +31,6 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +44,13 @@ CHUNK = 1_500_000
 #: Members of a cell that stand on one side of an R-tree join.
 TILE = 1024
 #: Coordinates of the count vectors.
-GROUPS = 64
+GROUPS = 256
+#: Shingles of a group of a long set, about, before it gets more groups for the bound on pairs.
+DENSE = 10
 #: Points of a leaf.
-LEAF = 16
+LEAF = 48
+#: Rows of cells that one task call works on, about.
+ROWS = 20_000
 
 _LOWER, _SPACE = words.lower_table(), words.space_table()
 
@@ -243,26 +246,87 @@ def _cells(buckets: int):
     return run
 
 
+def _groups(size: np.ndarray) -> np.ndarray:
+    """Groups of a set's count vector: a power of two times ``GROUPS``, for about ``DENSE`` shingles each at most."""
+    return GROUPS << np.ceil(np.log2(np.maximum(size / (DENSE * GROUPS), 1))).astype(np.int64)
+
+
+def _vectors(n: int):
+    """Counts of shingles by group, a byte each; ``excess`` is what bytes can't hold."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("excess", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for lo, offs, hashes in shingle_sets(batch.column(1), n):
+                size = np.diff(offs)
+                groups = _groups(size)
+                base = np.concatenate(([0], np.cumsum(groups)))
+                rows = np.repeat(np.arange(len(size)), size)
+                group = (words.mix(hashes + np.uint64(77)) >> np.uint64(30)).astype(np.int64) % groups[rows]
+                counts = np.bincount(base[rows] + group, minlength=base[-1])
+                held = np.minimum(counts, 255).astype(np.uint8)
+                excess = np.add.reduceat(counts - held, base[:-1]) if len(size) else size
+                data = held.tobytes()
+                yield pa.record_batch([batch.column(0).slice(lo, len(size)), pa.array(size), pa.array([data[x:y] for x, y in zip(base[:-1], base[1:], strict=True)], pa.binary()), pa.array(excess)], schema=schema)
+
+    return run
+
+
 def _sets(n: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for lo, offs, hashes in shingle_sets(batch.column(1), n):
-                group = (words.mix(hashes + np.uint64(77)) >> np.uint64(40)).astype(np.int64) % GROUPS
-                rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-                counts = np.bincount(rows * GROUPS + group, minlength=(len(offs) - 1) * GROUPS).astype("<u4").reshape(-1, GROUPS)
                 lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(lo, len(offs) - 1), pa.array(np.diff(offs)), lists, pa.array([x.tobytes() for x in counts], pa.binary())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(lo, len(offs) - 1), pa.array(np.diff(offs)), lists], schema=schema)
 
     return run
 
 
+def _folded(blob: bytes, groups: int) -> np.ndarray:
+    """A count vector with fewer groups: groups are remainders, so theirs add up."""
+    own = np.frombuffer(blob, np.uint8)
+    return own if len(own) == groups else own.reshape(-1, groups).sum(0, dtype=np.int32)
+
+
+def _points(column) -> np.ndarray:
+    return np.stack([_folded(x, GROUPS) for x in column]).astype(np.int32) if len(column) else np.zeros((0, GROUPS), np.int32)
+
+
+def _bounded(percent: int):
+    """Pairs (a, b) whose summed minima admit a link, from (a, b, na, nb, ca, cb, ea, eb)."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            bound = np.minimum(batch.column(6).to_numpy(), batch.column(7).to_numpy()).copy()
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                groups = min(len(x), len(y))
+                bound[i] += int(np.minimum(_folded(x, groups), _folded(y, groups)).sum(dtype=np.int64))
+            keep = pa.array((100 + percent) * bound >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _bound_pairs(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and count vectors admit a link; a written table."""
+    left, right = (vectors.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"), F.col("excess").alias(f"e{x}")) for x in "ab")
+    sized = pairs.join(left, "a").join(right, "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+    bounded = sized.select("a", "b", "na", "nb", "ca", "cb", "ea", "eb").mapInArrow(_bounded(percent), "a long, b long")
+    return common.table(bounded.distinct(), "bounded")
+
+
 class RTree:
-    """A packed R-tree over count vectors: leaves of near points, nodes with upper corners."""
+    """A packed R-tree over count vectors: leaves of near points, nodes with upper corners.
 
-    def __init__(self, points: np.ndarray, size: np.ndarray, part: np.ndarray):
-        self.points, self.size, self.part = points, size, part
+    ``excess`` is one coordinate more, the sum of what the others leave out.
+    """
+
+    def __init__(self, points: np.ndarray, size: np.ndarray, part: np.ndarray, excess: np.ndarray | None = None):
+        extra = np.zeros(len(points), np.int32) if excess is None else excess
+        self.points, self.size, self.part = np.concatenate((points, extra[:, None]), 1, dtype=np.int32), size, part
         self.nodes: list[tuple] = []  # (upper corner, least size, first and last part, children or rows)
         self.root = self._build(np.arange(len(points)))
 
@@ -295,15 +359,29 @@ def tree_pairs(left: RTree, right: RTree, percent: int):
 
 
 def _tile_pairs(percent: int):
-    def run(pdf):
-        points = np.frombuffer(b"".join(pdf["counts"]), "<u4").reshape(-1, GROUPS)
-        size, part, ids, tile = (pdf[c].to_numpy() for c in ("n", "part", "id", "tile"))
-        at = [np.flatnonzero(tile == pdf[c].iloc[0]) for c in ("lo", "hi")]
-        trees = [RTree(points[x], size[x], part[x]) for x in at if len(x)]
-        if len(trees) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = {(min(p), max(p)) for i, j in tree_pairs(*trees, percent) for p in [(ids[at[0][i]], ids[at[1][j]])]}
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+    """Pairs (a, b) that the trees of a bucket of tiles can't rule out."""
+
+    def run(key, group):
+        cell, ids, size, part, tile, lo, hi, excess = (group.column(c).to_numpy() for c in ("key", "id", "n", "part", "tile", "lo", "hi", "excess"))
+        order = np.lexsort((hi, lo, cell))
+        points = _points(group.column("counts").take(pa.array(order)).to_pylist())
+        cell, ids, size, part, tile, lo, hi, excess = (x[order] for x in (cell, ids, size, part, tile, lo, hi, excess))
+        new = np.ones(len(cell), bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(cell))
+        open_now = np.maximum.reduceat(part, start) != np.minimum.reduceat(part, start)
+        found: set[tuple[int, int]] = set()
+        for x, y in zip(start[open_now].tolist(), stop[open_now].tolist(), strict=True):
+            at = np.arange(x, y)
+            sides = [at] if lo[x] == hi[x] else [at[tile[x:y] == lo[x]], at[tile[x:y] == hi[x]]]
+            if all(map(len, sides)):
+                trees = [RTree(points[i], size[i], part[i], excess[i]) for i in sides]
+                for i, j in tree_pairs(trees[0], trees[-1], percent):
+                    p, q = int(ids[sides[0][i]]), int(ids[sides[-1][j]])
+                    found.add((min(p, q), max(p, q)))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -321,26 +399,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     cells = packed.groupBy("bucket").applyInArrow(_cells(buckets), "key long, name long")
     filed = common.table(cells.join(reps.select("name", "rep"), "name").select("key", F.col("rep").alias("id")).distinct(), "cells")
     ends = filed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where("first <> last")
-    ends = common.table(ends, "ends")
-    joined = filed.join(ends, "key")
-    tried = joined.select("id", F.explode(F.array("first", "last")).alias("other")).where("id <> other")
-    tried = common.table(tried.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "tried")
-    wanted = common.table(joined.select("id").distinct(), "wanted")
-    side = F.broadcast(wanted) if common.small(wanted) else wanted
-    sets = common.table(base.join(side, "id", "left_semi").mapInArrow(_sets(n), "id long, n long, shingles array<long>, counts binary"), "shingles")
-    links = common.table(_verified(tried, sets, percent), "links")
+    joined = filed.join(ends.drop("last"), "key")
+    tried = common.table(joined.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    wanted = common.table(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    vectors = common.table(_some(base, wanted).mapInArrow(_vectors(n), "id long, n long, counts binary, excess long"), "vectors")
+    common.tidy(spark)
+    links = _verified(_bound_pairs(tried, vectors, percent), base, n, percent)
+    common.tidy(spark)
     parts = common.connected_components(links)
 
-    # cells of up to three members are settled: each pair has been held together
-    placed = joined.where("members > 3").select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
+    # cells of two members are settled: the pair has been held together
+    placed = joined.where("members > 2").select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
     placed = common.table(placed, "placed")
     open_cells = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p <> q").select("key", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
     rest = placed.join(open_cells, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiles = rest.select("key", "id", "part", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tiles = tiles.select("key", "id", "part", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    tiles = tiles.join(sets.select("id", "n", "counts"), "id")
-    more = tiles.groupBy("key", "lo", "hi").applyInPandas(_tile_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    late = common.table(_verified(more, sets, percent), "links")
+    calls = int(max(64, placed.count() // ROWS))
+    tiles = tiles.join(vectors, "id").withColumn("call", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(calls)))
+    more = tiles.groupBy("call").applyInArrow(_tile_pairs(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    late = _verified(_bound_pairs(common.table(more, "more"), vectors, percent), base, n, percent)
     if late.limit(1).count():
         parts = common.connected_components(links.unionByName(late))
     known = reps.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
@@ -348,12 +426,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _some(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``base`` with ids of a written table, which is sent to all tasks only if it is small."""
+    return base.join(F.broadcast(ids) if common.small(ids) else ids, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, whose whole sets are similar enough; a written table."""
+    ids = common.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = common.table(_some(base, ids).mapInArrow(_sets(n), "id long, n long, shingles array<long>"), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
-    return sized.where(F.size(F.array_intersect("sa", "sb")) * F.lit(100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = pairs.join(left, "a").join(right, "b").where(both * F.lit(100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb")))
+    return common.table(linked.select("a", "b").distinct(), "links")
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
