@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-SAMPLE, BUCKETS, STEPS, TOLERANCE = 8000, 8192, 25, 1e-6
+SAMPLE, BUCKETS, STEPS, TOLERANCE = 8000, 2048, 25, 1e-6
 #: Default share of tokens by domain.
 WEIGHTS = {"0": 0.125, "1": 0.875}
 _POWERS, _FACTORS = (0.0, 0.5, 1.0), (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
