@@ -2,8 +2,7 @@
 
 Each template is a short licence notice. Its words get an inverse document frequency
 over all documents, and the index holds, for each template, the positions of its
-``RARE`` rarest words. A file's rarest index words (``LOOKED_UP`` at most, by that
-frequency) are looked up; a posting at position q met at word p votes that the template
+``RARE`` rarest words. All index words of a file are looked up; a posting at position q met at word p votes that the template
 begins at word p - q. Where ``VOTES`` different words agree, one of the template's mandatory key
 phrases must stand at its place, ``SLACK`` words off at most. The share of the template's words that stand
 at their places is the score. Some phrases are labels by themselves: every place where
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common, words
 
-RARE, LOOKED_UP, VOTES, SLACK = 5, 16, 2, 2
+RARE, VOTES, SLACK = 5, 2, 2
 
 #: Phrases that are labels by themselves.
 PHRASES = {
@@ -120,7 +119,6 @@ class Index:
     """Postings (template, position) of the rare words of the templates."""
 
     def __init__(self, idf: dict[int, float]):
-        self.idf = idf
         self.templates = [hashed(t) for _, t, _ in TEMPLATES]
         self.keys = []
         for own, (_, text, phrases) in zip(self.templates, TEMPLATES, strict=True):
@@ -142,10 +140,9 @@ class Index:
         by_word: dict[int, list[int]] = {}
         for p in places.tolist():
             by_word.setdefault(int(own[p]), []).append(p)
-        looked_up = sorted(by_word, key=lambda h: (-self.idf.get(h, 0), h))[:LOOKED_UP]
         votes: dict[tuple[int, int], set[int]] = {}
-        for h in looked_up:
-            for p in by_word[h]:
+        for h, found in by_word.items():
+            for p in found:
                 for t, q in self.postings[h]:
                     votes.setdefault((t, p - q), set()).add(h)
         out: dict[str, float] = {}

@@ -83,6 +83,15 @@ def test_licences_match_plain_scan(spark, edge, empty):
     assert licenses.licences(empty).count() == 0
 
 
+def test_licences_of_a_notice_with_all_templates(spark):
+    whole = "\n\n".join(text for _, text, _ in licenses.TEMPLATES)
+    hot = " ".join(word for _, text, _ in licenses.TEMPLATES for word in text.split()[::-1])
+    docs = spark.createDataFrame([(0, whole), (1, hot + "\n" + whole), (2, "plain words")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.licences(docs).collect()}
+    labels = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert (rows[0].labels, rows[0].score) == (labels, 1.0) and (rows[1].labels, rows[1].score) == (labels, 1.0) and rows[2].labels == ""
+
+
 def plain_dedup(rows):
     """Kept ranges of each (id, text), by the rule in words."""
     found = {}
