@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import json
 
 import numpy as np
 import pytest
@@ -34,6 +35,16 @@ def test_template_texts_go():
     assert wrapper.main_text("<div><span>Home of news</span><p>text 99</p></div>", both) == own
 
 
+def test_copies_of_a_page_count_once_over_all_partitions(spark):
+    page = "<div><p>{}</p></div>"
+    rows = [(i, "http://h/", page.format(f"own text {i}")) for i in range(10)] + [(100 + i, "http://h/", page.format("often copied")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40, "page_id")
+    text = {r.page_id: r.text for r in wrapper.main_texts(pages).collect()}
+    assert text == {i: f"own text {i}" for i in range(10)} | {100 + i: "often copied" for i in range(40)}
+    tree = json.loads(wrapper.host_trees(pages.selectExpr("'h' host", "html page")).first().tree)
+    assert tree[1] == 11
+
+
 def test_matching_is_the_largest_in_order():
     tree = lambda label, *below: [label, 1, 0, {}, list(below)]
     a = tree("r", tree("x", tree("y")), tree("z"), tree("x"))
