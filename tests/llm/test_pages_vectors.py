@@ -45,6 +45,27 @@ def test_copies_of_a_page_count_once_over_all_partitions(spark):
     assert tree[1] == 11
 
 
+def test_content_stands_where_text_varies():
+    """Teasers in articles don't displace a body that stands in a div; an article around the body takes its heading along."""
+    body = "<p>The long story of day {0}, told at length {0}</p><p>It goes on and on for {0} hours and more</p>"
+    teasers = "<article class='card'><p>more {0}</p></article><article class='card'><p>less {0}</p></article>"
+    kinds = {
+        f"<html><body><div class='story'>{body}</div><div class='grid'>{teasers}</div></body></html>": f"<div>{body}</div>",
+        f"<html><body><article><h1>Day {{0}}</h1><div>{body}</div></article><div><p>odd {{0}}</p></div></body></html>": f"<h1>Day {{0}}</h1>{body}",
+        f"<html><body><div class='story'>{body}</div>{teasers}</body></html>": f"<div>{body}</div>",
+    }
+    for page, content in kinds.items():
+        trees = wrapper.Trees()
+        for i in range(8):
+            trees.add("h", wrapper.folded([wrapper.parse(page.format(i))]))
+        assert wrapper.main_text(page.format(99), trees.by_host["h"]) == wrapper.main_text(content.format(99)), page
+    both = wrapper.Trees()  # two layouts of one host
+    for i in range(16):
+        both.add("h", wrapper.folded([wrapper.parse([*kinds][i % 2].format(i))]))
+    for page, content in [*kinds.items()][:2]:
+        assert wrapper.main_text(page.format(99), both.by_host["h"]) == wrapper.main_text(content.format(99)), page
+
+
 def test_matching_is_the_largest_in_order():
     tree = lambda label, *below: [label, 1, 0, {}, list(below)]
     a = tree("r", tree("x", tree("y")), tree("z"), tree("x"))
