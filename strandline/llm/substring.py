@@ -8,8 +8,8 @@ aside. Units are compared as lower-cased words (A-Z only) with white space
 evened out, by a digest of 96 bits.
 
 Of equal units the one in the row with the smallest id stays, and in that
-row the first; all others go, with the white space behind them. Units of
-fewer than ``WORDS`` words always stay. ``kept`` holds the character ranges of the original text
+row the first; all others go, with the white space behind them. Whole lines go however
+short they are; the parts of a long line have ``WORDS`` words or more. A line without white space is one unit. ``kept`` holds the character ranges of the original text
 that make up the new text.
 
 Units are grouped by digest over all documents. A task sends, for each digest
@@ -34,8 +34,8 @@ from strandline.llm import common, words
 
 #: Words on either side that a cut's word hash is compared with.
 REACH = 5
-#: Least number of words of a unit that may go.
-WORDS = 5
+#: Least number of words of a part of a line; cuts at minima among ``REACH`` neighbours leave no shorter ones.
+WORDS = REACH
 #: Units that a task groups at once.
 CHUNK = 1_500_000
 
@@ -99,10 +99,9 @@ def _packed(buckets: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, raw, offs in words.slices(batch.column(1)):
-                _, row, size, d1, d2 = units(raw, offs)
-                big = size >= WORDS
-                parts.append((d1[big], d2[big], ids[lo + row[big]]))
-                held += int(big.sum())
+                _, row, _, d1, d2 = units(raw, offs)
+                parts.append((d1, d2, ids[lo + row]))
+                held += len(d1)
             if held >= CHUNK:
                 yield from flush(parts, turn)
                 parts, held, turn = [], 0, turn + 4099
@@ -149,14 +148,14 @@ def _cleaned(batches):
         gone_row = np.repeat(np.arange(len(text)), amount)
         texts, kept, counts = list(whole), [None] * len(text), np.zeros((2, len(text)), np.int64)
         for lo, hi, raw, offs in words.slices(text):
-            start, row, size, d1, _ = units(raw, offs)
+            start, row, _, d1, _ = units(raw, offs)
             a, b = np.searchsorted(gone_row, (lo, hi))
             mark = words.mix((row + 1).astype(np.uint64))
             listed = np.isin(words.mix(d1 ^ mark), words.mix(gone[a:b] ^ words.mix((gone_row[a:b] - lo + 1).astype(np.uint64))))
             order = np.lexsort((start, d1, row))
             again = np.zeros(len(row), bool)
             again[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (d1[order[1:]] == d1[order[:-1]])
-            drop = (size >= WORDS) & (listed | again)
+            drop = listed | again
             counts[0, lo:hi] = np.bincount(row, minlength=hi - lo)
             counts[1, lo:hi] = np.bincount(row[drop], minlength=hi - lo)
             chars = words.characters(raw)

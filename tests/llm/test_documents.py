@@ -130,6 +130,17 @@ def test_repeats_match_plain_version(spark, edge, empty):
     assert substring.repeated_passages_removed(empty).count() == 0
 
 
+def test_short_and_unspaced_lines_go(spark):
+    long = "日本語の段落" * 40
+    rows = [(1, f"all rights reserved.\nmine one\n{long}\nx"), (2, f"second\nAll  Rights reserved.\n{long}\ntail of two\nsecond"), (3, "x"), (4, "y" * 300 + "\n" + "y" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_units, r.n_removed) for r in substring.repeated_passages_removed(docs).collect()}
+    assert out == {1: (rows[0][1], 4, 0), 2: ("second\ntail of two\n", 5, 3), 3: ("", 1, 1), 4: ("y" * 300 + "\n", 2, 1)}
+    rnd = random.Random(12)
+    raw, offs = words.buffers(pa.array([" ".join(str(rnd.randrange(50)) for _ in range(20_000))]))
+    assert substring.units(raw, offs)[2].min() >= substring.WORDS
+
+
 def test_mixing_meets_targets(spark, edge, empty):
     rnd = random.Random(7)
     kinds = ["alpha beta gamma delta", "one### two### three###"]
