@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +57,41 @@ def mask_runs(texts: pd.Series) -> pd.Series:
     def runs(text):
         if text is None:
             return None
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        step = np.diff(np.concatenate(([0], (points > 0x60).astype(np.int8), [0])))
-        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        start, end = _runs(text)
         return [{"start": int(a), "len": int(b - a)} for a, b in zip(start, end, strict=True)] or None
 
     return texts.map(runs)
 
 
+def _runs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First characters of runs of masked characters, and those behind the runs."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    step = np.diff(np.concatenate(([0], (points > 0x60).astype(np.int8), [0])))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def mask_run_rows(batches):
+    """(id, start, len) rows of the runs of masked characters of Arrow batches (id, text), about 65,536 or a text's runs at a time."""
+
+    def rows(parts):
+        ids, starts, ends = zip(*parts, strict=True)
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        key = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), [len(s) for s in starts])))
+        return pa.record_batch([key, pa.array(start), pa.array(end - start)], names=["doc_id", "start", "len"])
+
+    for batch in batches:
+        parts, held = [], 0
+        for key, text in zip(batch.column(0), batch.column(1), strict=True):
+            if (own := text.as_py()) is not None:
+                parts.append((key.as_py(), *_runs(own)))
+                held += len(parts[-1][1])
+            if held >= 65_536:
+                yield rows(parts)
+                parts, held = [], 0
+        if parts:
+            yield rows(parts)
+
+
 def split_id(line: Column) -> Column:
     return F.split(line, " ", -1)[0]
 

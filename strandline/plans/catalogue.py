@@ -115,6 +115,16 @@ def mask_runs(spark, sf_dir):
     return runs.select("item_id", F.col("run.start").cast("long").alias("start"), F.col("run.len").cast("long").alias("len"))
 
 
+def mask_runs_documents(spark, sf_dir):
+    """As ``mask_runs``, over the collection; runs leave as rows, in small batches."""
+    from strandline.session import ship_package
+
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(sq.mask_run_rows, "doc_id long, start long, len long")
+
+
 def unmask_roundtrip(spark, sf_dir):
     own = F.col("sequence")
     back = sq.apply_mask(sq.ascii_upper(own), sq.mask_or_null(own))
@@ -126,6 +136,12 @@ def split_id_header(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", sq.split_id(line).alias("id"), sq.split_header(line).alias("header"), sq.split_header(line, True).alias("word"))
 
 
+def split_id_header_whole(spark, sf_dir):
+    """As ``split_id_header``, over whole texts."""
+    line = F.regexp_replace("text", "\n", " ")
+    return _table(spark, sf_dir, "documents").select("doc_id", sq.split_id(line).alias("id"), sq.split_header(line).alias("header"), sq.split_header(line, True).alias("word"))
+
+
 def fasta_wrap60(spark, sf_dir):
     return _plain(spark, sf_dir).select("id", lookup.fasta_text(F.col("id"), F.col("header"), F.col("sequence"), 60, True).alias("fasta"))
 
@@ -169,6 +185,13 @@ def reassemble(spark, sf_dir):
     return addressing.reassemble(locs, addressing.blocks(locs, own))
 
 
+def reassemble_documents(spark, sf_dir):
+    """As ``reassemble``, over the collection."""
+    own = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.col("text").alias("sequence"))
+    locs = pack_locs(spark, sf_dir)
+    return addressing.reassemble(locs, addressing.blocks(locs, own))
+
+
 def seqloc_len_clean(spark, sf_dir):
     return _plain(spark, sf_dir).select("id", scan.record_length().alias("len"))
 
@@ -240,7 +263,7 @@ def hash32(spark, sf_dir):
     return _plain(spark, sf_dir).select("id", sq.hash32("id").alias("hash"))
 
 
-_OWN = (scan_linear, scan_shuffled_rank, list_ids, record_count, index_len, find_one, find_missing, find_many_ordered, find_ranges, missing_ids, member_ids, by_ordinal, ascii_upper, ascii_lower, mask_string, mask_has, mask_count, mask_runs, unmask_roundtrip, split_id_header, fasta_wrap60, fasta_wrap80, pack_locs, location_splits, block_stats, seqloc_rows, slice_locs, slice_bytes, reassemble, seqloc_len_clean, seqloc_len_all, delta_encode, delta_decode, level_clamp, codec_table, presets, sniff_format, sniff_compression, output_path, directory_check, summarize, bp, split_train_test, hash32)
+_OWN = (scan_linear, scan_shuffled_rank, list_ids, record_count, index_len, find_one, find_missing, find_many_ordered, find_ranges, missing_ids, member_ids, by_ordinal, ascii_upper, ascii_lower, mask_string, mask_has, mask_count, mask_runs, mask_runs_documents, unmask_roundtrip, split_id_header, split_id_header_whole, fasta_wrap60, fasta_wrap80, pack_locs, location_splits, block_stats, seqloc_rows, slice_locs, slice_bytes, reassemble, reassemble_documents, seqloc_len_clean, seqloc_len_all, delta_encode, delta_decode, level_clamp, codec_table, presets, sniff_format, sniff_compression, output_path, directory_check, summarize, bp, split_train_test, hash32)
 QUERIES = {f.__name__: f for f in _OWN}
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"

@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import re
 
 import duckdb
 import pytest
@@ -161,3 +162,17 @@ def test_queries_match_sql(spark, name):
     own = catalogue.QUERIES[name](spark, DATA)
     assert sorted(own.columns) == sorted(columns)
     assert sorted(map(repr, (tuple(r) for r in own.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_whole_documents_match_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    run = lambda name: catalogue.QUERIES[name](spark, DATA).collect()
+    heads = {}
+    for key, text in texts.items():
+        line = text.replace("\n", " ")
+        parts = line.split(" ")
+        heads[key] = (parts[0], line.split(" ", 1)[1] if " " in line else None, parts[1] if " " in line else None)
+    assert {r.doc_id: (r.id, r.header, r.word) for r in run("split_id_header_whole")} == heads
+    runs = sorted((key, m.start(), len(m[0])) for key, text in texts.items() for m in re.finditer("[^\x00-\x60]+", text))
+    assert sorted(tuple(r) for r in run("mask_runs_documents")) == runs
+    assert {r.ordinal: r.sequence for r in run("reassemble_documents")} == {k: t for k, t in texts.items() if t}
