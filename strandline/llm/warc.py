@@ -249,5 +249,5 @@ def through_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or f"{common.own_folder(spark)}/warc-{uuid.uuid4().hex}"
     raw = write_archives(pages, f"{folder}/raw")
     whole = normalise_archives(raw, f"{folder}/members")
-    common.drop(spark, f"{folder}/raw")
+    common.remove(spark, f"{folder}/raw")
     return read_archives(whole, folder)

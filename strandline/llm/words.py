@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; one longer text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = (seed * 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF
     base ^= 2 if base % 4 == 1 else 0
@@ -92,16 +92,37 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed * 2 + 1)), forth, back
 
 
+#: Powers of a seed that a worker keeps; those of longer inputs are made anew each time.
+_held = lru_cache(8)(_powers)
+
+
 def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 11) -> np.ndarray:
     """A 64-bit hash of values[start:stop] of each run. Bytes go through a table first."""
     size = 1 << max(16, int(len(values)).bit_length())
-    table, forth, back = _powers(seed, size)
+    table, forth, back = _held(seed, size) if size <= 2 * SLICE_BYTES else _powers(seed, size)
     own = table[values] if values.dtype == np.uint8 else mix(values + np.uint64(seed))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(own * forth[: len(values)], out=total[1:])
     return mix((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
+def released(run):
+    """``run``, a function from batches to batches, giving memory back at its end: the next stage shares the worker."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def characters(raw: np.ndarray) -> np.ndarray | None:
     """Characters before each byte position, or None if all bytes are ASCII."""
     if not len(raw) or raw.max() < 128:

@@ -284,14 +284,55 @@ def test_jaccard_edges(edge, empty):
     assert ngramjoin.jaccard_components(empty).count() == 0
 
 
+def test_large_groups_of_copies(spark):
+    """Thousands of near copies with pairwise different edits, beside as many that share only a passage."""
+    rnd = random.Random(21)
+    base, passage = ([f"{x}{rnd.randrange(10**6)}" for _ in range(120)] for x in "bp")
+    rows = []
+    for i in range(5000):
+        own = list(base)
+        for k in rnd.sample(range(120), 2):
+            own[k] = f"e{i}x{k}"
+        rows.append(" ".join(own))
+    rows += [" ".join([*passage[:60], *(f"o{i}y{k}" for k in range(60))]) for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs, 5, 80).collect()}
+    assert got == {i: 0 if i < 5000 else i for i in range(7000)}
+
+
+def test_links_of_tiles_match_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for size in (30, 31, 300):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for _ in range(40):
+            own = base.copy()
+            own[rng.random(size) < 0.1] = rng.integers(0, 1 << 62)
+            sets.append(np.unique(np.append(own, rng.integers(0, 1 << 62, size // 20).astype(np.uint64))))
+    part, rows = np.arange(len(sets)), np.arange(len(sets))
+
+    def joined(pairs):
+        top = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = sorted((top[a], top[b]))
+            top = [x if t == y else t for t in top]
+        return top
+
+    whole = [(a, b) for a in rows for b in rows if a < b and 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))]
+    halves = [(rows[::2], rows[::2]), (rows[1::2], rows[1::2]), (rows[::2], rows[1::2])]
+    for cells in ([(rows, rows)], halves):
+        links = ngramjoin.spanning_links([(c[0], c[0]) if c[0] is c[1] or np.array_equal(c[0], c[1]) else c for c in cells], sets, part, 80)
+        assert joined(links) == joined(whole) and len(links) < len(sets)
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 6, (40, 8))
     points = (np.repeat(base, 5, 0) + rng.integers(0, 2, (200, 8))).astype(np.int64)
-    size, part = points.sum(1), np.arange(200)
-    tree = ngramjoin.RTree(points, size, part)
-    got = {(int(a), int(b)) for a, b in ngramjoin.tree_pairs(tree, tree, 80)}
-    want = {(i, j) for i in range(200) for j in range(200) if i != j and 180 * np.minimum(points[i], points[j]).sum() >= 80 * (size[i] + size[j])}
+    size = points.sum(1)
+    tree = ngramjoin.RTree(points, size)
+    got = {(int(a), int(b)) for a, hits in ngramjoin.tree_pairs(tree, tree, 80) for b in hits}
+    want = {(i, j) for i in range(200) for j in range(200) if 180 * np.minimum(points[i], points[j]).sum() >= 80 * (size[i] + size[j])}
     assert got == want
 
 
