@@ -37,7 +37,7 @@ REACH = 5
 #: Least number of words of a part of a line; cuts at minima among ``REACH`` neighbours leave no shorter ones.
 WORDS = REACH
 #: Units that a task groups at once.
-CHUNK = 1_500_000
+CHUNK = 1 << 20
 
 _LOWER, _SPACE = words.lower_table(), words.space_table()
 
@@ -189,7 +189,7 @@ def repeated_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col:
     docs = docs.drop("n_units", "n_removed", "kept")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = int(min(1 << 18, max(512, docs.count() // 5000)))
-    packed = base.where("id is not null and text is not null").mapInArrow(_packed(buckets), "bucket int, kind byte, packed binary")
+    packed = base.where("id is not null and text is not null").mapInArrow(words.released(_packed(buckets)), "bucket int, kind byte, packed binary")
     later = packed.groupBy("bucket").applyInArrow(_later, "id long, gone long")
     lists = later.groupBy("id").agg(F.collect_set("gone").alias("__gone")).withColumnRenamed("id", "__key")
     # a null id meets no list; its key spreads such rows
@@ -200,5 +200,5 @@ def repeated_passages_removed(docs: DataFrame, id_col: str = "doc_id", text_col:
     ready = joined.select(F.col(text_col).cast("string").alias("__text"), F.coalesce(gone, F.array().cast("array<bigint>")).alias("__gone"), *others)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields if f.name in others]
     schema = ", ".join(["__text string, __n_units long, __n_removed long, __kept array<struct<start:bigint,end:bigint>>", *fields])
-    out = ready.mapInArrow(_cleaned, schema)
+    out = ready.mapInArrow(words.released(_cleaned), schema)
     return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns], F.col("__n_units").alias("n_units"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept"))

@@ -8,16 +8,18 @@ logistic curve whose weights are fitted on training rows that the dictionaries o
 fold have not seen, so the thresholds are calibrated.
 
 The ordinary dictionary holds windows of ordinary text; those that look
-toxic to a first pair of dictionaries come last, where matches are cheapest. The toxic one holds the
+toxic to a first pair of dictionaries (among the first ``HARD_ROWS`` ordinary rows) come last, where matches are cheapest. The toxic one holds the
 same windows behind the words and word starts that toxic documents hold
 significantly more often than ordinary ones (a Poisson bound, corrected for the number
-tried; near copies count once).
+tried; near copies count once), the most frequent ones if they take more than ``TOXIC_BYTES``.
+This is a departure from two dictionaries of plain samples, whose windows differ by chance more than by a
+single toxic word; README has the figures of both.
 
 Defined cases: null and empty texts have no windows and get the score of an
 eligible text without evidence; rows with a null id or label are not learnt from; an id with several
-labels is toxic if one of them says so; if the training rows lack a class,
+labels is toxic if one of them says so, and of several texts the least is learnt from; if the training rows lack a class,
 every score is 0; repeated rows are scored alike; extra columns pass through and added names
-(``score``) replace columns of the same name. The fit reads at most ``TOXIC_ROWS`` and
+(``score``) replace columns of the same name, except in :func:`toxic_removed`, which adds none. The fit reads at most ``TOXIC_ROWS`` and
 ``ORDINARY_ROWS`` labelled rows, those with the smallest hashed ids; scoring reads every
 whole text.
 """
@@ -41,7 +43,7 @@ from strandline.llm import common, words
 #: Words of a window.
 WINDOW = 16
 #: Bounds of the sample of labelled rows.
-TOXIC_ROWS, ORDINARY_ROWS = 2500, 4000
+TOXIC_ROWS, ORDINARY_ROWS, HARD_ROWS = 2500, 4000, 1500
 #: Bytes of the dictionaries' ordinary and toxic parts.
 ORDINARY_BYTES, TOXIC_BYTES = 49152, 8192
 #: A document is called toxic from this score on.
@@ -90,7 +92,13 @@ def _pick(seed: int, n: int) -> int:
 
 def fit_dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary content."""
-    terms = b"".join(marked_terms(rows))[-TOXIC_BYTES:]
+    kept, size = [], 0
+    for term in marked_terms(rows)[::-1]:
+        size += len(term)
+        if size > TOXIC_BYTES:
+            break
+        kept.append(term)
+    terms = b"".join(kept[::-1])
     ordinary = []
     for i, (text, toxic) in enumerate(rows):
         if not toxic:
@@ -102,7 +110,7 @@ def fit_dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
     base = b" ".join(ordinary)[:ORDINARY_BYTES]
     clean = [t for t, toxic in rows if not toxic]
     hard, size = [], 0
-    for gain, window in distances(clean[:1500], base, terms + base, keep=True):
+    for gain, window in distances(clean[:HARD_ROWS], base, terms + base, keep=True):
         if gain >= 3 and size < ORDINARY_BYTES // 2:
             hard.append(window)
             size += len(window)
@@ -203,11 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = common.table(marks, "marks")
     some = marks.where("toxic = 1").orderBy("turn", "id").limit(TOXIC_ROWS).unionByName(marks.where("toxic = 0").orderBy("turn", "id").limit(ORDINARY_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(some), "id").select("turn", "id", "text", "toxic").collect()  # at most the sample's rows
-    return fit_rows([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.turn, r.id, r.text or ""))])
+    known = texts.join(F.broadcast(some), "id").groupBy("turn", "id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = known.collect()  # a row an id, at most the sample's
+    return fit_rows([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.turn, r.id))])
 
 
-def _scored(model: Model | None):
+def _scored(model: Model | None, name: str):
     def run(batches):
         pair = (compressor(model.ordinary), compressor(model.toxic)) if model else None
         weights = np.array(model.weights) if model else None
@@ -216,17 +225,17 @@ def _scored(model: Model | None):
             for lo, hi, raw, offs in words.slices(batch.column(0)) if model else ():
                 gain, row = gains(_LOWER[raw], offs, pair)
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(features(gain, row, hi - lo) @ weights, -30, 30)))
-            yield pa.record_batch([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` from 0 to 1; no shuffle."""
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` from 0 to 1; no shuffle."""
     common.arrow_rows(docs.sparkSession)
-    docs = docs.drop("score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"])
-    return docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(_scored(model), schema)
+    docs = docs.drop(name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"])
+    return docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(words.released(_scored(model, name)), schema)
 
 
 def held_out(id_column):
@@ -237,4 +246,4 @@ def held_out(id_column):
 def toxic_removed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``."""
     model = fit(docs, labels, training=lambda c: ~held_out(c))
-    return scored(docs, model).where(F.col("score") < threshold).select(*docs.columns)
+    return scored(docs, model, name="__score").where(F.col("__score") < threshold).select(*docs.columns)

@@ -3,8 +3,8 @@
 Each half of the unit vectors has a codebook of its own, and the pairs of
 codewords form a grid of cells. A vector is filed in the cell of its two nearest codewords and
 visits cells in the order of the summed squared distances to their codewords
-(multi-sequence traversal), until a limit. The limit is calibrated:
-sample vectors are turned by the angle of the threshold in random directions, and it is
+(multi-sequence traversal), until a limit. The limit is calibrated on
+sample vectors that the codebooks were not fitted on: they are turned by the angle of the threshold in random directions, and it is
 the distance that reaches the turned vector's cell in ``RECALL`` of the cases; a pair
 can be found from both of its ends, and closer pairs are found more often. What meets in a cell is
 verified by cosine in double precision.
@@ -13,7 +13,7 @@ Vectors are compared only with equal labels. Equal vectors are one class,
 verified once and weighted with their number. A cell is worked on in blocks of at most ``BLOCK`` filed
 against ``BLOCK`` visiting vectors. Each pair is counted in one block: if both ends visit each other's
 cell, in that where the smaller id visits. A block returns sums of links and a spanning
-forest, never its pairs.
+forest, never its pairs. Distances to codewords are summed row by row, so both ends of a pair come to the same decision.
 
 The codebooks come from at most ``SAMPLE`` classes, those with the smallest
 hashes; every row is filed and visits.
@@ -26,14 +26,14 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.llm import common
+from strandline.llm import common, words
 
 SAMPLE, RECALL, BLOCK = 20_000, 0.97, 1024
 #: Classes for each pair of codewords that the codebooks' size aims at, and their largest size.
@@ -47,8 +47,15 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def distances(half: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Squared distances of the rows to the codewords."""
-    return np.maximum((half * half).sum(1)[:, None] - 2 * half @ codes.T + (codes * codes).sum(1)[None], 0)
+    """Squared distances of the rows to the codewords.
+
+    Each is summed by itself, so that a row's distances don't depend on the rows beside it.
+    """
+    out = np.empty((len(half), len(codes)))
+    for i in range(0, len(half), step := max(1, (1 << 20) // max(1, codes.size))):
+        differ = half[i : i + step, None] - codes[None]
+        out[i : i + step] = np.square(differ, out=differ).sum(2)
+    return out
 
 
 def codebook(half: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -67,64 +74,73 @@ class Grid:
 
     def __init__(self, rows: np.ndarray, k: int, cosine: float):
         self.cut = rows.shape[1] // 2
-        self.codes = codebook(rows[:, : self.cut], k), codebook(rows[:, self.cut :], k)
-        turn = np.random.default_rng(5).normal(size=rows.shape)
-        turn -= (turn * rows).sum(1, keepdims=True) * rows
+        fitted, unseen = rows[0::2], rows[1::2]
+        self.codes = codebook(fitted[:, : self.cut], k), codebook(fitted[:, self.cut :], k)
+        turn = np.random.default_rng(5).normal(size=unseen.shape)
+        turn -= (turn * unseen).sum(1, keepdims=True) * unseen
         norm = np.sqrt((turn * turn).sum(1, keepdims=True))
-        turned = cosine * rows + np.sqrt(1 - cosine * cosine) * turn / np.where(norm > 0, norm, 1)
-        a, b = self.halves(rows)
+        turned = cosine * unseen + np.sqrt(1 - cosine * cosine) * turn / np.where(norm > 0, norm, 1)
+        a, b = self.halves(unseen)
         c, d = (x.argmin(1) for x in self.halves(turned))
-        at = np.arange(len(rows))
+        at = np.arange(len(unseen))
         self.limit = float(np.quantile(a[at, c] + b[at, d], RECALL))
 
     def halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return distances(rows[:, : self.cut], self.codes[0]), distances(rows[:, self.cut :], self.codes[1])
 
-    def visits(self, first: np.ndarray, second: np.ndarray) -> list[int]:
-        """Cells in order of summed distance: the nearest, then those within the limit."""
-        left, right = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-        wide, out = len(right), []
-        heap, seen = [(first[left[0]] + second[right[0]], 0, 0)], {(0, 0)}
-        while heap:
-            cost, i, j = heapq.heappop(heap)
-            if out and cost > self.limit:
+    def visits(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the visits of rows with these distances; a row's own cell comes first.
+
+        Multi-sequence traversal of all rows side by side: with both codebooks in order of
+        distance, the frontier goes down the first one, as far along the second as the limit allows.
+        """
+        wide = second.shape[1]
+        left, right = np.argsort(first, 1, kind="stable"), np.argsort(second, 1, kind="stable")
+        near, rows = np.take_along_axis(second, right, 1), np.arange(len(first))
+        out = [(rows, left[:, 0] * wide + right[:, 0])]
+        for i in range(first.shape[1]):
+            reach = (first[rows, left[rows, i]][:, None] + near[rows] <= self.limit).sum(1)
+            rows, reach = rows[reach > 0], reach[reach > 0]
+            if not len(rows):
                 break
-            out.append(int(left[i]) * wide + int(right[j]))
-            for p in ((i + 1, j), (i, j + 1)):
-                if p[0] < len(left) and p[1] < wide and p not in seen:
-                    seen.add(p)
-                    heapq.heappush(heap, (first[left[p[0]]] + second[right[p[1]]], *p))
-        return out
+            at = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+            who = np.repeat(rows, reach)
+            some = (at > 0) | (i > 0)  # the own cell is there already
+            out.append((who[some], (left[who, i] * wide + right[who, at])[some]))
+        row, cell = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
 
 
-_CELLS = pa.schema([("label", pa.string()), ("cell", pa.int64()), ("filed", pa.bool_()), ("rep", pa.int64()), ("weight", pa.int64()), ("home", pa.int64()), ("vector", pa.binary())])
+_CELLS = pa.schema([("label", pa.string()), ("cell", pa.int64()), ("filed", pa.bool_()), ("rep", pa.int64()), ("weight", pa.int64()), ("home", pa.int64())])
 
 
-def _filed(grids: dict[int, Grid], with_vectors: bool):
+def _filed(grids: dict[int, Grid]):
     """A row for the cell of a class and one for each cell that it visits."""
 
     def run(batches):
         for batch in batches:
-            label, rep, weight = (batch.column(i).to_pylist() for i in range(3))
             vectors = batch.column(3)
             size = vectors.value_lengths().to_numpy()
             for d in np.unique(size):
-                rows = np.flatnonzero(size == d)
-                data = unit(vectors.take(pa.array(rows)).flatten().to_numpy().reshape(-1, d))
+                some = np.flatnonzero(size == d)
                 grid = grids.get(int(d))
-                a, b = grid.halves(data) if grid else (np.zeros((len(rows), 1)),) * 2
-                out = []
-                for k, r in enumerate(rows.tolist()):
-                    cells = grid.visits(a[k], b[k]) if grid else [0]
-                    own = data[k].tobytes() if with_vectors else None
-                    out += [(label[r], c, filed, rep[r], weight[r], cells[0], own) for filed, c in [(True, cells[0]), *((False, c) for c in cells)]]
-                for i in range(0, len(out), 4096):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), _CELLS.types, strict=True)], schema=_CELLS)
+                for i in range(0, len(some), 256):
+                    rows = some[i : i + 256]
+                    if grid:
+                        row, cell = grid.visits(*grid.halves(unit(vectors.take(pa.array(rows)).flatten().to_numpy().reshape(-1, d))))
+                    else:
+                        row, cell = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+                    home = cell[np.searchsorted(row, np.arange(len(rows)))]
+                    which = pa.array(rows[np.concatenate((np.arange(len(rows)), row))])
+                    filed = np.arange(len(rows) + len(row)) < len(rows)
+                    own = [batch.column(c).take(which) for c in range(3)]
+                    yield pa.record_batch([own[0], pa.array(np.concatenate((home, cell))), pa.array(filed), own[1], own[2], pa.array(np.concatenate((home, home[row])))], schema=_CELLS)
 
     return run
 
 
-def _block(grids: dict[int, Grid], cosine: float):
+def _block(grids: dict[int, Grid], cosine: float, single: bool):
     """(id, links, root) of the linked classes of a block."""
 
     def forest(mask: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +157,8 @@ def _block(grids: dict[int, Grid], cosine: float):
         filed = group.column("filed").to_numpy(zero_copy_only=False).astype(bool)
         rep, weight, home = (group.column(c).to_numpy() for c in ("rep", "weight", "home"))
         blobs = group.column("vector").to_pylist()
-        data = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1) if blobs else np.zeros((0, 1))
+        data = np.frombuffer(b"".join(blobs), np.float32 if single else np.float64).reshape(len(blobs), -1) if blobs else np.zeros((0, 1))
+        data = unit(data) if blobs else data
         s, q = np.flatnonzero(filed), np.flatnonzero(~filed)
         none = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         if not len(s) or not len(q):
@@ -168,6 +185,14 @@ def _block(grids: dict[int, Grid], cosine: float):
     return run
 
 
+def _packed_vectors(kind: str):
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: np.asarray(v, kind).tobytes())
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return run
+
+
 def codebook_size(classes: int) -> int:
     return int(min(MOST_CODES, max(2, (classes / FILL) ** 0.5)))
 
@@ -183,28 +208,35 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     classes = named.where("fine").groupBy("label", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = common.table(classes, "classes")
     total = classes.count()
-    rows = classes.orderBy("h1", "h2", "rep").limit(SAMPLE).select("v").collect()  # at most SAMPLE vectors
+    sample = classes.orderBy("h1", "h2", "rep").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()  # at most SAMPLE vectors
+    size = sample.value_lengths().to_numpy(zero_copy_only=False)
     grids: dict[int, Grid] = {}
-    for d in {len(r.v) for r in rows}:
-        own = unit(np.array([r.v for r in rows if len(r.v) == d]))
-        if d > 1 and len(own) >= 20:
-            grids[d] = Grid(own, codebook_size(total), cosine)
-    source = classes.select("label", "rep", "weight", "v")
-    schema = "label string, cell long, filed boolean, rep long, weight long, home long, vector binary"
-    spread = source.select(F.concat_ws("|", F.size("v"), "label").alias("label"), "rep", "weight", "v")
-    counts = spread.mapInArrow(_filed(grids, False), schema).groupBy("label", "cell").agg(F.count_if("filed").alias("filed_rows"), F.count_if(~F.col("filed")).alias("visits"))
-    counts = common.table(counts.select("label", "cell", F.greatest(F.lit(1), F.ceil(F.col("filed_rows") / BLOCK)).cast("int").alias("tf"), F.greatest(F.lit(1), F.ceil(F.col("visits") / BLOCK)).cast("int").alias("tv")), "cells")
-    placed = spread.mapInArrow(_filed(grids, True), schema).join(F.broadcast(counts) if common.small(counts) else counts, ["label", "cell"])
+    for d in np.unique(size).tolist():
+        own = sample.filter(pa.array(size == d)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        if d > 1 and len(own) >= 40:
+            grids[d] = Grid(unit(own), codebook_size(total), cosine)
+    source = classes.select(F.concat_ws("|", F.size("v"), "label").alias("label"), "rep", "weight", "v")
+    # ids travel first; vectors follow in the form they came in, once their blocks are known
+    visits = common.table(source.mapInArrow(words.released(_filed(grids)), "label string, cell long, filed boolean, rep long, weight long, home long"), "visits")
+    counts = visits.groupBy("label", "cell").agg(F.count_if("filed").alias("filed_rows"), F.count_if(~F.col("filed")).alias("visitors")).where("filed_rows > 0 and filed_rows + visitors > 2")
+    tiles = [F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("filed_rows", "visitors")]
+    counts = common.table(counts.select("label", "cell", tiles[0].alias("tf"), tiles[1].alias("tv")), "grid", common.worth(total))
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    pack = F.pandas_udf(_packed_vectors("<f4" if single else "<f8"), "binary")
+    packed = classes.select("rep", pack("v").alias("vector"))
+    placed = common.skew_join(visits, counts, ["label", "cell"], "rep")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("filed"), F.col("tf")).otherwise(F.col("tv"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("filed"), F.col("tv")).otherwise(F.col("tf")) - 1))
     tiles = placed.withColumn("own", own).withColumn("other", other)
-    tiles = tiles.select("label", "cell", F.when(F.col("filed"), F.col("own")).otherwise(F.col("other")).alias("f"), F.when(F.col("filed"), F.col("other")).otherwise(F.col("own")).alias("q"), "filed", "rep", "weight", "home", "vector")
-    found = common.table(tiles.groupBy("label", "cell", "f", "q").applyInArrow(_block(grids, cosine), "id long, links long, root long"), "links")
-    parts = common.connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b"))
+    tiles = tiles.join(packed, "rep").select("label", "cell", F.when(F.col("filed"), F.col("own")).otherwise(F.col("other")).alias("f"), F.when(F.col("filed"), F.col("other")).otherwise(F.col("own")).alias("q"), "filed", "rep", "weight", "home", "vector")
+    found = common.table(tiles.groupBy("label", "cell", "f", "q").applyInArrow(_block(grids, cosine, single), "id long, links long, root long"), "links")
+    common.drop(visits)
+    parts = common.connected_components(common.table(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b"), "pairs", common.worth(found.count())))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("label", "h1", "h2", F.col("rep").alias("id"), "weight").join(sums, "id", "left").join(parts, "id", "left")
     known = known.select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    out = named.where("fine").join(known, ["label", "h1", "h2"]).select("id", "n_links", "component_id")
+    mine = common.table(named.where("fine").select("id", "label", "h1", "h2"), "named")
+    out = common.skew_join(mine, known, ["label", "h1", "h2"], "id").select("id", "n_links", "component_id")
     alone = named.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = out.unionByName(alone)
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

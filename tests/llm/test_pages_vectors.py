@@ -148,3 +148,32 @@ def test_near_vectors_match_all_pairs(spark):
     assert np.mean(exact) > 0.97 and all(found[i].n_links <= n for i, n in zip(ids.tolist(), link.sum(1), strict=True))
     assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in range(1000, 1007))
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("dimension", "codes"), [(64, 35), (64, 256), (256, 35), (256, 256)])
+def test_recall_of_the_grid(dimension, codes):
+    """Held-out vectors turned to the threshold's cosine meet their origin in a visited cell, from one end or the other."""
+    rng = np.random.default_rng(dimension + codes)
+    grid = vectors.Grid(vectors.unit(rng.normal(size=(8000, dimension))), codes, 0.93)
+    own = vectors.unit(rng.normal(size=(2000, dimension)))
+    turn = rng.normal(size=own.shape)
+    turn = vectors.unit(turn - (turn * own).sum(1, keepdims=True) * own)
+    other = 0.93 * own + np.sqrt(1 - 0.93**2) * turn
+    met = np.zeros(len(own), bool)
+    for a, b in ((own, other), (other, own)):
+        row, cell = grid.visits(*grid.halves(a))
+        first, second = (x.argmin(1) for x in grid.halves(b))
+        met |= np.isin(np.arange(len(own)), row[cell == (first * grid.codes[1].shape[0] + second)[row]])
+    assert met.mean() >= 0.9
+
+
+def test_visits_come_in_all_cells_within_the_limit():
+    rng = np.random.default_rng(1)
+    grid = vectors.Grid(vectors.unit(rng.normal(size=(400, 8))), 6, 0.93)
+    first, second = grid.halves(vectors.unit(rng.normal(size=(50, 8))))
+    row, cell = grid.visits(first, second)
+    assert len({*zip(row.tolist(), cell.tolist(), strict=True)}) == len(row)
+    for i in range(50):
+        cost = (first[i][:, None] + second[i][None]).ravel()
+        assert set(cell[row == i].tolist()) == set(np.flatnonzero(cost <= grid.limit).tolist()) | {int(cost.argmin())}
+        assert cell[row == i][0] == cost.argmin()
