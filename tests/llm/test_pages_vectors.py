@@ -3,7 +3,7 @@
 import gzip
 import hashlib
 import io
-import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -22,27 +22,54 @@ def test_main_text_by_rules():
     assert wrapper.main_text("<div>" * 300 + "deep") == "deep"
 
 
+def plain_wrapper(pages):
+    """The wrapper of distinct pages of a host, by plain counting."""
+    trees = [wrapper.folded(wrapper.parse(p)) for p in dict.fromkeys(pages)]
+    kinds = Counter(map(wrapper.layout, trees))
+    text = wrapper.skeleton(sorted(kinds, key=lambda x: (-kinds[x], hashlib.md5(x.encode()).hexdigest()))[: wrapper.LAYOUTS])
+    held, whole = {}, wrapper.from_layout(text)
+    for tree in trees:
+        for p, t in wrapper.matching(tree, whole)[1]:
+            held.setdefault(t[2], []).append(p[3])
+    counts = []
+    for k, v in held.items():
+        n, name = max(((n, wrapper.text_name(x)) for x, n in Counter(filter(None, v)).items()), default=(0, 0))
+        counts.append((k, len(v), n, sum(map(len, v)), name))
+    return wrapper.Wrapper(text, counts)
+
+
 def test_template_texts_go():
-    trees = wrapper.Trees()
-    for i in range(8):
-        trees.add("h", wrapper.folded([wrapper.parse(f"<div><span>Home of news</span><p>text {i}</p></div>")]))
-    own = wrapper.main_text("<div><span>Home of news</span><p>text 99</p></div>", trees.by_host["h"])
-    assert own == "text 99"
-    halves = [wrapper.Trees(), wrapper.Trees()]
-    for i in range(8):
-        halves[i % 2].add("h", wrapper.folded([wrapper.parse(f"<div><span>Home of news</span><p>text {i}</p></div>")]))
-    both = wrapper.merged(halves[0].by_host["h"], halves[1].by_host["h"])
-    assert wrapper.main_text("<div><span>Home of news</span><p>text 99</p></div>", both) == own
-
-
-def test_copies_of_a_page_count_once_over_all_partitions(spark):
-    page = "<div><p>{}</p></div>"
-    rows = [(i, "http://h/", page.format(f"own text {i}")) for i in range(10)] + [(100 + i, "http://h/", page.format("often copied")) for i in range(40)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(40, "page_id")
-    text = {r.page_id: r.text for r in wrapper.main_texts(pages).collect()}
-    assert text == {i: f"own text {i}" for i in range(10)} | {100 + i: "often copied" for i in range(40)}
-    tree = json.loads(wrapper.host_trees(pages.selectExpr("'h' host", "html page")).first().tree)
-    assert tree[1] == 11
+    own = plain_wrapper([f"<div><span>Home of news</span><p>text {i}</p></div>" for i in range(8)])
+    assert wrapper.main_text("<div><span>Home of news</span><p>text 99</p></div>", own) == "text 99"
+
+
+def test_wrappers_match_plain_counting_however_pages_are_dealt(spark):
+    """A rare layout's notice is template too, a text on 65 of 100 pages counts as 65, and copies count once."""
+    rows = [f"<div><p>own text {i}</p><span>{'often' if i % 100 < 65 else f'seldom {i}'}</span></div>" for i in range(600)]
+    rows += [f"<div><h1>Odd {i}</h1><table><tr><td>cell {i}</td></tr></table><em>Rare notice</em></div>" for i in range(7)]
+    rows += ["<div><p>copied</p><span>mine</span></div>"] * 900
+    table = spark.createDataFrame([(i, "http://h/", page) for i, page in enumerate(rows)], "page_id long, url string, html string")
+    own, seen = plain_wrapper(rows), []
+    want = {i: wrapper.main_text(page, own) for i, page in enumerate(rows)}
+    assert want[3] == "own text 3" and want[99] == "own text 99\nseldom 99" and want[601] == "Odd 1\ncell 1" and want[700] == "copied\nmine"
+    for n in (1, 40):
+        seen.append({r.page_id: r.text for r in wrapper.main_texts(table.repartition(n, "html", "page_id")).collect()})
+    assert seen == [want, want]
+
+
+def test_joined_wrappers_give_the_same(spark, pages, monkeypatch):
+    want = sorted(map(repr, wrapper.main_texts(pages).collect()))
+    monkeypatch.setattr(wrapper, "CARRIED", 0)
+    assert sorted(map(repr, wrapper.main_texts(pages).collect())) == want
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    assert wrapper.main_text(deep) == "deep"
+    own = plain_wrapper([deep.replace("deep", f"deep {i}") for i in range(6)])
+    assert wrapper.main_text(deep, own) == "deep"
+    long = "<article>" + "".join(f"<p>par {i}</p>" for i in range(50_000)) + "</article>"
+    assert wrapper.main_text(long).count("\n") == 49_999
 
 
 def test_content_stands_where_text_varies():
@@ -55,23 +82,21 @@ def test_content_stands_where_text_varies():
         f"<html><body><div class='story'>{body}</div>{teasers}</body></html>": f"<div>{body}</div>",
     }
     for page, content in kinds.items():
-        trees = wrapper.Trees()
-        for i in range(8):
-            trees.add("h", wrapper.folded([wrapper.parse(page.format(i))]))
-        assert wrapper.main_text(page.format(99), trees.by_host["h"]) == wrapper.main_text(content.format(99)), page
-    both = wrapper.Trees()  # two layouts of one host
-    for i in range(16):
-        both.add("h", wrapper.folded([wrapper.parse([*kinds][i % 2].format(i))]))
+        own = plain_wrapper([page.format(i) for i in range(8)])
+        assert wrapper.main_text(page.format(99), own) == wrapper.main_text(content.format(99)), page
+    both = plain_wrapper([[*kinds][i % 2].format(i) for i in range(16)])  # two layouts of one host
     for page, content in [*kinds.items()][:2]:
-        assert wrapper.main_text(page.format(99), both.by_host["h"]) == wrapper.main_text(content.format(99)), page
+        assert wrapper.main_text(page.format(99), both) == wrapper.main_text(content.format(99)), page
 
 
 def test_matching_is_the_largest_in_order():
-    tree = lambda label, *below: [label, 1, 0, {}, list(below)]
+    tree = lambda label, *below: [label, list(below), 0, ""]
     a = tree("r", tree("x", tree("y")), tree("z"), tree("x"))
     b = tree("r", tree("z"), tree("x", tree("y")))
-    assert wrapper.matching(a, b, {}) == 3
-    assert wrapper.aligned(a, b, {}) in ([(0, 1)], [(1, 0), (2, 1)])
+    size, pairs = wrapper.matching(a, b)
+    assert size[id(a), id(b)] == 3 == len(pairs)
+    wrapper.merge(a, b)
+    assert wrapper.layout(a) == "0 r\n1 z\n1 x\n2 y\n1 z\n1 x" or wrapper.layout(a) == "0 r\n1 x\n2 y\n1 z\n1 x\n2 y"
 
 
 @pytest.fixture(scope="module")
