@@ -5,7 +5,8 @@ posterior for each. Then each document gets a nonnegative *rate*, the expected n
 is used, so that the expected tokens of every domain, rate x tokens x posterior
 summed over all documents, match their targets.
 
-Classifier: naive Bayes on hashed word ends. A document's summed log-odds are scaled by a power
+Classifier: naive Bayes on hashed words, whole ones between white space. Its tables are one row of a written table that
+plans refer to by a scalar subquery. A document's summed log-odds are scaled by a power
 of its length and a factor, both picked by log-likelihood on labelled rows that the word
 counts have not seen. It is a projection: no shuffle, whatever the text's length.
 
@@ -13,7 +14,7 @@ Rates: projected gradient steps for the least squares of relative misses. The gr
 a row is the product of its posteriors with the domains' misses; it is scaled by the inverse of
 the D x D Gram matrix of rows above the bound, which makes a step exact while no row meets
 the bound. A step is one aggregate over the narrow table of tokens and posteriors, and sends
-sums to the driver only. A row's rate follows from its posteriors and the D numbers of each step.
+sums to the driver only; ``STEPS`` at most, and the largest relative miss that is left is reported as ``residual``. A row's rate follows from its posteriors and the D numbers of each step.
 
 Defined cases: null and empty texts have no tokens, the prior as posterior, and a rate like others; labels with a
 null id or domain are not used, of several for an id the greatest counts; without labels there is
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-SAMPLE, BUCKETS, STEPS, TOLERANCE = 8000, 2048, 25, 1e-6
+SAMPLE, BUCKETS, STEPS, TOLERANCE = 8000, 8192, 25, 1e-6
 #: Default share of tokens by domain.
 WEIGHTS = {"0": 0.125, "1": 0.875}
 _POWERS, _FACTORS = (0.0, 0.5, 1.0), (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -41,31 +42,40 @@ _POWERS, _FACTORS = (0.0, 0.5, 1.0), (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 
 @dataclass
 class Classifier:
-    """Log-odds by bucket of each domain against the first one, log priors, and the scale."""
+    """Log priors of domains, the scale, and a table of one row: log-odds by bucket of each domain but the first against that (o1, ...)."""
 
     domains: list[str]
     priors: list[float]
-    odds: list[list[float]] = field(default_factory=list)
+    odds: DataFrame | None = None
     power: float = 0.0
     factor: float = 1.0
 
 
 def _parts(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), " ")
+    """The words of a text."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     ")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.right(word, F.lit(4))), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def token_count(text: Column) -> Column:
-    """Runs of characters between single spaces; none in an empty text."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.size(_parts(text))).cast("long")
+    """Runs of characters between white space; none in an empty text."""
+    return F.size(_parts(text)).cast("long")
 
 
-def _summed(text: Column, odds: list[float]) -> Column:
-    table = F.expr(f"array({','.join(f'{x:.6g}D' for x in odds)})")
-    return F.aggregate(_parts(text), F.lit(0.0), lambda total, word: total + F.get(table, _bucket(word)))
+def _with_sums(docs: DataFrame, text_col: str, odds: DataFrame) -> DataFrame:
+    """``docs`` with the words' summed log-odds of each domain but the first (__s1, ...)."""
+    names = odds.columns
+    held = docs.withColumns({"__words": _parts(F.col(text_col))} | {f"__{c}": odds.select(c).scalar() for c in names})
+
+    def summed(name: str) -> Column:
+        return F.aggregate("__words", F.lit(0.0), lambda total, word: total + F.get(F.col(f"__{name}"), _bucket(word)))
+
+    sums = {f"__s{c[1:]}": summed(c) for c in names}
+    return held.withColumns(sums).drop("__words", *(f"__{c}" for c in names))
 
 
 def _softmax(scores: list[Column]) -> list[Column]:
@@ -99,20 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column | None = None, id_col
     if len(domains) == 1:
         return out
     counts = rows.select("half", "domain", F.explode(_parts(F.col("text"))).alias("w")).groupBy("half", "domain", _bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    held = {(r.half, r.domain, r.bucket): r.n for r in counts.collect()}  # at most 2 x domains x BUCKETS rows
-
-    def odds(halves: tuple[int, ...]) -> list[list[float]]:
-        logs = []
-        for d in domains:
-            n = [sum(held.get((h, d, b), 0) for h in halves) for b in range(BUCKETS)]
-            whole = math.log(sum(n) + 0.5 * BUCKETS)
-            logs.append([math.log(x + 0.5) - whole for x in n])
-        return [[a - b for a, b in zip(own, logs[0], strict=True)] for own in logs[1:]]
-
-    seen = odds((0,))
-    tested = rows.where("half = 1").select("domain", token_count(F.col("text")).alias("tokens"), *[_summed(F.col("text"), o).alias(f"s{i}") for i, o in enumerate(seen)])
-    tested = common.table(tested, "tested")
-    sums = [F.col(f"s{i}") for i in range(len(seen))]
+    counts = common.table(counts, "counts", 1)  # at most 2 x domains x BUCKETS rows
+    halves = [_odds(counts.where("half = 0"), domains), _odds(counts, domains)]
+    tested = _with_sums(rows.where("half = 1"), "text", halves[0])
+    tested = common.table(tested.select("domain", token_count(F.col("text")).alias("tokens"), *[F.col(f"__s{i}").alias(f"s{i}") for i in range(1, len(domains))]), "tested")
+    sums = [F.col(f"s{i}") for i in range(1, len(domains))]
     likely = []
     for power in _POWERS:
         for factor in _FACTORS:
@@ -124,15 +125,35 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column | None = None, id_col
     values = tested.agg(*[x.alias(f"l{i}") for i, x in enumerate(likely)]).first()
     best = max(range(len(likely)), key=lambda i: values[i] if values[i] is not None else -math.inf)
     out.power, out.factor = _POWERS[best // len(_FACTORS)], _FACTORS[best % len(_FACTORS)]
-    out.odds = odds((0, 1))
+    out.odds = halves[1]
     return out
 
 
-def posteriors(text: Column, model: Classifier) -> list[Column]:
-    """A posterior for each domain."""
+def _odds(counts: DataFrame, domains: list[str]) -> DataFrame:
+    """The classifier's table from (domain, bucket, n): half a count more for each bucket."""
+    spark = counts.sparkSession
+    by_domain = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, d in enumerate(domains)]
+    all_buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").groupBy("bucket").agg(*by_domain)
+    wholes = [F.sum(f"n{i}").alias(f"t{i}") for i in range(len(domains))]
+    row = all_buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", *(f"n{i}" for i in range(len(domains)))))).alias("held"), *wholes)
+
+    def log(x: Column, i: int) -> Column:
+        return F.ln((x[f"n{i}"] + 0.5) / (F.col(f"t{i}") + 0.5 * BUCKETS))
+
+    def against_first(i: int) -> Column:
+        return F.transform("held", lambda x: log(x, i) - log(x, 0)).alias(f"o{i}")
+
+    return common.table(row.select(*[against_first(i) for i in range(1, len(domains))]), "odds", 1)
+
+
+def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """``docs`` with a posterior for each domain (__p0, ...)."""
     if len(model.domains) == 1:
-        return [F.lit(1.0)]
-    return _softmax(_scores([_summed(text, o) for o in model.odds], token_count(text), model.priors, model.power, model.factor))
+        return docs.withColumn("__p0", F.lit(1.0))
+    found = _with_sums(docs, text_col, model.odds)
+    sums = [f"__s{i}" for i in range(1, len(model.domains))]
+    posts = _softmax(_scores([F.col(c) for c in sums], token_count(F.col(text_col)), model.priors, model.power, model.factor))
+    return found.withColumns({f"__p{i}": p for i, p in enumerate(posts)}).drop(*sums)
 
 
 def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -168,6 +189,7 @@ class Plan:
     start: float
     least: float
     steps: list[list[float]]
+    residual: float = 0.0
 
     def rate(self, posts: list[Column]) -> Column:
         rate = F.lit(max(self.start, self.least))
@@ -223,6 +245,7 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], t
         plan.steps.append([y / s for y, s in zip(step, scale, strict=True)])
     del plan.steps[best[1] :]
     plan.totals = best[2]
+    plan.residual = max((abs(x - t) / s for x, t, s in zip(best[2], targets, scale, strict=True)), default=0.0) if whole else 0.0
     return plan
 
 
@@ -232,29 +255,29 @@ def _copies(rate: Column, id_col: str, text_col: str) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, tokens, domain, posterior, rate, copies): the likeliest domain and its posterior, for each row."""
+    """(id_col, tokens, domain, posterior, rate, copies, residual): the likeliest domain and its posterior, for each row; the fit's largest relative miss."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     table, plan, posts = _fitted(docs, model, weights or WEIGHTS, total, least, id_col, text_col)
     top = F.greatest(*posts) if len(posts) > 1 else posts[0]
     name = F.lit(model.domains[0])
     for d, p in list(zip(model.domains, posts, strict=True))[1:]:
         name = F.when(p == top, F.lit(d)).otherwise(name)
-    return table.select(F.col("id").alias(id_col), "tokens", name.alias("domain"), top.alias("posterior"), plan.rate(posts).alias("rate"), F.floor(plan.rate(posts) + F.col("chance")).cast("long").alias("copies"))
+    return table.select(F.col("id").alias(id_col), "tokens", name.alias("domain"), top.alias("posterior"), plan.rate(posts).alias("rate"), F.floor(plan.rate(posts) + F.col("chance")).cast("long").alias("copies"), F.lit(plan.residual).alias("residual"))
 
 
 def _fitted(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None, least: float, id_col: str, text_col: str):
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    own = posteriors(F.col(text_col), model)
-    table = common.table(docs.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).alias("tokens"), chance.alias("chance"), *[p.alias(f"p{i}") for i, p in enumerate(own)]), "posteriors")
+    own = with_posteriors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), chance.alias("chance")), model)
+    table = common.table(own.select("id", token_count(F.col("text")).alias("tokens"), "chance", *[F.col(f"__p{i}").alias(f"p{i}") for i in range(len(model.domains))]), "posteriors")
     plan = fit_rates(table, model.domains, weights, total, least)
-    return table, plan, [F.col(f"p{i}") for i in range(len(own))]
+    return table, plan, [F.col(f"p{i}") for i in range(len(model.domains))]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says, rounded by the hash of its id and text."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     _, plan, _ = _fitted(docs, model, weights or WEIGHTS, total, least, id_col, text_col)
-    own = docs.withColumns({f"__p{i}": p for i, p in enumerate(posteriors(F.col(text_col), model))})
+    own = with_posteriors(docs, model, text_col)
     rate = plan.rate([F.col(f"__p{i}") for i in range(len(model.domains))])
     times = own.withColumn("__copies", _copies(rate, id_col, text_col)).where("__copies > 0")
     return times.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies, 1L)"))).select(*docs.columns)

@@ -5,13 +5,10 @@ Documents become token ids with a closing id 0, and pieces of at most
 sum over all gaps of the squared number of open sequences with that gap becomes
 smallest; among equals, to the smallest gap.
 
-The rule looks only at lengths, so it runs on the histogram of lengths, which has at most
-``capacity`` entries whatever the input's size: some passes take the same
-share of each length, longest first, and place ``total / STEPS`` equal pieces a step at
-most. Of a few numbers of passes the one that opens the fewest sequences counts. Its outcome is a list of ranges: pieces of one length with ranks r to r + k go to sequences
-b to b + k at one offset. Each piece finds its range by its rank among those
-of its length. Ranks come from counts by length and hashed share, so no task
-holds all pieces of a length.
+Pieces are dealt at random (by a hash) into shares of about ``SHARE``, and a task packs a share
+by the rule, one piece at a time: in ``PASSES`` passes that take the same part of each
+length, longest first. That is the rule at every size; a share ends with a few sequences that aren't full, of some
+fifteen thousand.
 
 Defined cases: a null or empty text is the single id 0; repeated rows are packed each for
 itself; rows with null ids too; an empty table gives an empty result; extra columns are ignored.
@@ -19,24 +16,26 @@ itself; rows with null ids too; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm import common
+from strandline.llm import common, words
 
 CAPACITY = 2048
-#: Steps of the placement, whatever the number of pieces, and numbers of passes to try.
-STEPS, ROUNDS = 60_000, (1, 4, 16, 64)
-#: Pieces of a length and share that are ranked together, on average at most.
-SHARE = 20_000
-#: Words whose ids a task remembers.
-CACHE = 900_000
+#: Pieces that are packed together, at most on average, and passes over their lengths.
+SHARE, PASSES = 1 << 16, 16
+#: Words whose ids a worker remembers.
+CACHE = 300_000
+#: The steps before the model of the vocabulary that words are split for here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -51,13 +50,17 @@ class FastIds:
     The vocabulary's own splitter parts a text into words that are encoded
     independently, so words are split here and encoded once. Texts with characters
     beyond U+024F in lower case, where case and composition need care, or with a special
-    token's string go to the tokenizer whole.
+    token's string go to the tokenizer whole, and so do all texts if the file's splitter is another.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        steps = (known["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.fast = known["normalizer"] == NORMALIZER and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLITTER} and not steps[1]["add_prefix_space"] and all(x["content"].startswith("<|") for x in known["added_tokens"])
         kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x250))}
         letters, numbers = ("".join(re.escape(c) for c in kinds if kinds[c] == k) for k in "LN")
         space = "\t-\r \x85\xa0"
@@ -81,6 +84,8 @@ class FastIds:
         return out
 
     def __call__(self, text: str) -> bytes:
+        if not self.fast:
+            return self._encode(text)
         low = text.lower()
         if "<|" in low if low.isascii() else self._odd(low):
             return self._encode(text)
@@ -98,111 +103,93 @@ def fast_ids(path: str) -> FastIds:
     return FastIds(path)
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("turn", pa.int64())])
 
 
 def _tokenised(path: str, capacity: int):
     def run(batches):
-        ids = fast_ids(path)
+        ids, turn = fast_ids(path), 0
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = ids(text or "") + b"\0\0\0\0"
-                step = 4 * capacity
-                out += [(key, i, i * capacity, min(step, len(data) - i * step) // 4, data[i * step : (i + 1) * step]) for i in range(-(-len(data) // step))]
-            columns = zip(*out, strict=True) if out else [[]] * 5
+                step, turn = 4 * capacity, turn + 1
+                out += [(key, i, i * capacity, min(step, len(data) - i * step) // 4, data[i * step : (i + 1) * step], turn) for i in range(-(-len(data) // step))]
+            columns = zip(*out, strict=True) if out else [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES)
 
     return run
 
 
 def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids): pieces of at most ``capacity`` ids; ``ids`` are their bytes."""
+    """(doc_id, piece, start, length, ids, turn): pieces of at most ``capacity`` ids; ``ids`` are their bytes, ``turn`` tells repeated rows of a task apart."""
     common.arrow_rows(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return base.mapInArrow(_tokenised(path or vocabulary(), capacity), "doc_id long, piece int, start long, length long, ids binary")
-
-
-def placement(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rounds: int = ROUNDS[-1]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset) that place counts[length] pieces of each length."""
-    total = sum(counts.values())
-    most = max(1, total // steps)
-    open_now = np.zeros(capacity + 1, np.int64)  # by gap; gaps 0 and capacity are not counted
-    stacks: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    out: list[tuple[int, int, int, int, int]] = []
-    done, sequences = dict.fromkeys(counts, 0), 0
-    for turn in range(rounds):
-        for s in sorted(counts, reverse=True):
-            left = counts[s] * (turn + 1) // rounds - done[s]
-            while left:
-                # change of the sum for each gap from s up, the last one being a new sequence
-                change = 2 * (open_now[: capacity + 1 - s] - open_now[s:] + 1)
-                change[0] -= 1 if s < capacity else 2
-                if s < capacity:
-                    change[-1] -= 1
-                    change[:-1][open_now[s:-1] == 0] = np.iinfo(np.int64).max
-                g = s + int(np.argmin(change))
-                n = min(left, most if g == capacity else min(most, int(open_now[g])))
-                if s == capacity:
-                    n = left
-                if g == capacity:
-                    taken = [(sequences, n)]
-                    sequences += n
-                else:
-                    open_now[g] -= n
-                    taken, need = [], n
-                    while need:
-                        first, k = stacks[g].pop()
-                        if k > need:
-                            stacks[g].append((first + need, k - need))
-                            k = need
-                        taken.append((first, k))
-                        need -= k
-                for first, k in taken:
-                    out.append((s, done[s], k, first, capacity - g))
-                    done[s] += k
-                    if g > s:
-                        stacks[g - s].append((first, k))
-                if g > s:
-                    open_now[g - s] += n
-                left -= n
+    return base.mapInArrow(words.released(_tokenised(path or vocabulary(), capacity)), "doc_id long, piece int, start long, length long, ids binary, turn long")
+
+
+def in_passes(lengths: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """The order in which pieces are placed: each pass takes the same part of each length, longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    own = lengths[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(own)))
+    rank = np.arange(len(own)) - np.repeat(first, count)
+    return order[np.argsort(((rank + 1) * passes - 1) // np.repeat(count, count), kind="stable")]
+
+
+def placement(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(sequence, offset) of pieces that come in this order, by the sum-of-squares rule."""
+    open_now = np.zeros(capacity + 1, np.int64)  # open sequences by gap; gaps 0 and capacity don't count
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    none, out, sequences = np.iinfo(np.int64).max, [], 0
+    for s in lengths:
+        g = capacity
+        if s < capacity:
+            # half the change of the sum for gaps from s up, and for a new sequence
+            change = open_now[: capacity - s] - open_now[s:capacity] + 1.0
+            change[0] -= 0.5
+            change[open_now[s:capacity] == 0] = none
+            k = int(np.argmin(change))
+            if change[k] <= open_now[capacity - s] + 0.5:
+                g = s + k
+        if g == capacity:
+            at, sequences = sequences, sequences + 1
+        else:
+            at = stacks[g].pop()
+            open_now[g] -= 1
+        out.append((at, capacity - g))
+        if g > s:
+            stacks[g - s].append(at)
+            open_now[g - s] += 1
     return out
 
 
-def _placed(keys: np.ndarray, first: np.ndarray, offset: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (0, 1))
-            at = np.searchsorted(keys, (length << 44) + rank, "right") - 1
-            sequence = first[at] + ((length << 44) + rank - keys[at])
-            yield pa.record_batch([*batch.columns[2:], pa.array(sequence), pa.array(offset[at])], names=[*batch.schema.names[2:], "sequence_id", "offset"])
+def _packed(capacity: int):
+    def run(key, rows):
+        share = key[0].as_py()
+        rows = rows.sort_by([(c, "ascending") for c in rows.column_names if c != "share"])
+        lengths = rows.column("length").to_numpy()
+        order = in_passes(lengths)
+        places = np.empty((len(lengths), 2), np.int64)
+        places[order] = np.array(placement(lengths[order].tolist(), capacity), np.int64).reshape(-1, 2)
+        rows = rows.drop_columns(["share", "turn"])
+        return rows.append_column("sequence_id", pa.array((share << 32) + places[:, 0])).append_column("offset", pa.array(places[:, 1]))
 
     return run
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and others) with ``sequence_id`` and ``offset``.
-
-    ``pieces`` is read twice: hand over a written table.
-    """
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    plan = min((placement(counts, capacity, rounds=n) for n in ROUNDS), key=lambda x: max((b + k for _, _, k, b, _ in x), default=0))
-    rows = np.array(sorted((s << 44) + rank for s, rank, *_ in plan), np.int64) if plan else np.zeros(0, np.int64)
-    by_key = {(s << 44) + rank: (first, offset) for s, rank, _, first, offset in plan}
-    first, offset = (np.array([by_key[k][i] for k in rows.tolist()], np.int64) for i in (0, 1))
-    shares = max(64, sum(counts.values()) // SHARE)
-    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length")]
-    shared = pieces.withColumn("__share", F.pmod(F.xxhash64("doc_id", "piece", F.struct(*others) if others else F.lit(0)), F.lit(shares)))
-    mine = Window.partitionBy("length", "__share").orderBy("doc_id", "piece", *others)
-    before = shared.groupBy("length", "__share").agg(F.count("*").alias("n"))
-    before = before.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    ranked = shared.withColumn("__rank", F.row_number().over(mine) - 1).join(before, ["length", "__share"])
-    ready = ranked.select(F.col("length").alias("__length"), (F.col("__rank") + F.coalesce("__before", F.lit(0))).cast("long").alias("__at"), *pieces.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields), "sequence_id long, offset long"])
-    return ready.mapInArrow(_placed(rows, first, offset), schema)
+    """``pieces`` (doc_id, piece, length, turn and others), a written table, with ``sequence_id`` and ``offset`` instead of ``turn``."""
+    shares = common.worth(pieces.count(), SHARE)
+    dealt = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "length", "turn"), F.lit(shares)))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "turn"]
+    return dealt.groupBy("share").applyInArrow(_packed(capacity), ", ".join([*fields, "sequence_id long, offset long"]))
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    found = tokenised(docs, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    found = tokenised(docs, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "turn")
     return packed(common.table(found, "pieces"), capacity)

@@ -1,6 +1,7 @@
 """Operators on documents: edge cases, and plain versions to compare with."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -165,6 +166,28 @@ def test_mixing_meets_targets(spark, edge, empty):
     assert mixing.rates(empty, labels).count() == 0 and mixing.mixed(empty, labels.limit(0)).count() == 0
 
 
+def test_classifier_reads_whole_words(spark):
+    """Posteriors follow a plain naive Bayes by words that differ in their beginnings only; white space of any kind parts words."""
+    rnd = random.Random(17)
+    kinds = [["goodword", "fineword"], ["poorword", "baseword"]]
+    rows = [(i, rnd.choice([" ", "  ", "\n", "\t "]).join(rnd.choice(kinds[i % 2] + ["same"]) for _ in range(rnd.randrange(3, 20)))) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, " \n ")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    own = {r.doc_id: r for r in mixing.rates(docs, labels).collect()}
+    model = mixing.fit(docs, labels)
+    assert all(own[i].domain == str(i % 2) for i in range(400) if set(rows[i][1].split()) != {"same"})
+    assert {i: own[i].tokens for i in own} == {i: len((t or "").split()) for i, t in [*rows, (1000, None), (1001, " ")]}
+    seen = [Counter(w for i, t in rows[:300] if i % 2 == y for w in t.split()) for y in (0, 1)]
+    log = [[math.log((c[w] + 0.5) / (sum(c.values()) + 0.5 * mixing.BUCKETS)) for c in seen] for w in ("goodword", "fineword", "poorword", "baseword", "same")]
+    odds = dict(zip(("goodword", "fineword", "poorword", "baseword", "same"), (b - a for a, b in log), strict=True))
+    for i, text in rows[:50]:
+        parts = text.split()
+        score = model.priors[1] - model.priors[0] + sum(odds[w] for w in parts) * model.factor * len(parts) ** (model.power - 1)
+        second = 1 / (1 + math.exp(-score))
+        assert own[i].posterior == pytest.approx(max(second, 1 - second), abs=1e-9)
+    assert own[0].residual < 1e-5
+
+
 def test_fast_ids_match_the_tokenizer():
     ids = packing.FastIds(packing.vocabulary())
     rnd = random.Random(9)
@@ -174,24 +197,65 @@ def test_fast_ids_match_the_tokenizer():
         assert ids(t) == ids._encode(t), t
 
 
+def plain_placement(lengths, capacity):
+    """The rule in words: all sums are counted anew for each piece."""
+    gaps, out = [], []
+    for s in lengths:
+        def total(changed):
+            return sum(n * n for g, n in Counter(changed).items() if 0 < g < capacity)
+
+        best = min([(total([*gaps[:i], g - s, *gaps[i + 1 :]]), g, i) for i, g in enumerate(gaps) if g >= s] + [(total([*gaps, capacity - s]), capacity, len(gaps))])
+        out.append(capacity - best[1])
+        gaps[best[2] : best[2] + 1] = [best[1] - s]
+    return out, len(gaps)
+
+
+def test_placement_follows_the_rule():
+    rnd = random.Random(4)
+    for n in (1, 40, 250):
+        sizes = [rnd.choice([1, 7, 16, 3, 9, 12]) if n > 100 else rnd.randrange(1, 17) for _ in range(n)]
+        got = packing.placement(sizes, 16)
+        want, sequences = plain_placement(sizes, 16)
+        assert [offset for _, offset in got] == want and len({at for at, _ in got}) == sequences
+
+
 def test_placement_is_valid_and_tight():
     rnd = random.Random(4)
-    sizes = Counter(min(64, max(1, int(rnd.lognormvariate(2.5, 1)))) for _ in range(4000))
-    for rounds in (1, 16):
-        plan = packing.placement(dict(sizes), 64, rounds=rounds)
-        filled, ranks = defaultdict(list), defaultdict(set)
-        for s, rank, k, first, offset in plan:
-            for i in range(k):
-                filled[first + i].append((offset, s))
-                ranks[s].add(rank + i)
-        assert all(ranks[s] == set(range(n)) for s, n in sizes.items())
-        for own in filled.values():
-            end = 0
-            for offset, s in sorted(own):
-                assert offset == end
-                end += s
-            assert end <= 64
-        assert len(filled) <= 1.02 * -(-sum(s * n for s, n in sizes.items()) // 64) + 1
+    sizes = np.array([min(64, max(1, int(rnd.lognormvariate(2.5, 1)))) for _ in range(70_000)])
+    order = packing.in_passes(sizes)
+    assert sorted(order.tolist()) == list(range(70_000))
+    filled = defaultdict(int)
+    for s, (at, offset) in zip(sizes[order].tolist(), packing.placement(sizes[order].tolist(), 64), strict=True):
+        assert filled[at] == offset
+        filled[at] += s
+    assert max(filled.values()) <= 64 and len(filled) <= 1.001 * -(-int(sizes.sum()) // 64) + 1
+
+
+def test_packing_in_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 100)
+    rows = [(i % 300, 0, 1 + i * 37 % 64, i // 300) for i in range(900)] + [(7, 0, 5, 0)] * 50
+    pieces = common.table(spark.createDataFrame(rows, "doc_id long, piece int, length long, turn long"), "pieces")
+    out = packing.packed(pieces, 64).collect()
+    filled = defaultdict(list)
+    for r in out:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for own in filled.values():
+        end = 0
+        for offset, n in sorted(own):
+            assert offset == end
+            end += n
+        assert end <= 64
+    assert Counter((r.doc_id, r.length) for r in out) == Counter((a, c) for a, _, c, _ in rows)
+
+
+def test_other_vocabularies_go_to_their_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary("byte_bpe_50k.json")
+    ids, plain = packing.FastIds(path), Tokenizer.from_file(path)
+    assert not ids.fast and packing.FastIds(packing.vocabulary()).fast
+    for text in ("Hello there, World 12", "", "it's  WE'LL\n"):
+        assert ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_packed_documents(edge, empty):
