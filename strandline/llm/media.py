@@ -11,7 +11,7 @@ The reader takes the scans as the file describes them (spectral selection, succe
 approximation, end-of-band runs, restart intervals, its own Huffman tables) and adds them up in
 coefficient arrays. All restart segments of all files of a batch are decoded side by side, a
 symbol of each at a time, with numpy. Then blocks are transformed, chroma is
-repeated to full resolution and pixels become RGB.
+repeated to full resolution and pixels become RGB. Quantisation tables scale the coefficients for pixels, not the payload.
 
 Defined cases: a null or empty payload is 64 zero bytes; repeated rows give repeated
 rows; a null id stays null; a null media value gives null results; files that are not of
@@ -277,10 +277,13 @@ def parse(data: bytes) -> dict:
     """Size, payload length, components and scans (parameters, tables, entropy-coded bytes) of a file."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, huff, restart, out = 2, {}, 0, {"scans": [], "payload": None}
+    at, huff, quant, restart, out = 2, {}, {}, 0, {"scans": [], "payload": None}
     while True:
         kind = data[at + 1]
         if kind == 0xD9:
+            if [x[:2] for x in out["parts"].values()] != [(2, 2), (1, 1), (1, 1)] or out["width"] % 16 or out["height"] % 16:
+                raise ValueError("not three components with halved chroma in whole units")
+            out["quant"] = {part: quant.get(x[2], np.ones(64, np.int64)) for part, x in out["parts"].items()}
             return out
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
@@ -288,7 +291,12 @@ def parse(data: bytes) -> dict:
             out["payload"] = int(body[8:])
         elif kind == 0xC2:
             out["height"], out["width"] = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-            out["parts"] = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5])}
+            out["parts"] = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])}
+        elif kind == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                quant[body[0] & 15] = np.frombuffer(body, f">u{wide}", 64, 1).astype(np.int64)
+                body = body[1 + 64 * wide :]
         elif kind in (0xC0, 0xC1, 0xC3):
             raise ValueError("not a progressive JPEG file")
         elif kind == 0xC4:
@@ -420,7 +428,7 @@ def coefficients(files: list[dict]) -> tuple[np.ndarray, np.ndarray, list[dict[i
         starts.append(total)
         most = [max(p[i] for p in f["parts"].values()) for i in (0, 1)]
         own = {}
-        for part, (h, v) in f["parts"].items():
+        for part, (h, v, _) in f["parts"].items():
             wide = -(-(-(-f["width"] * h // most[0])) // 8)
             high = -(-(-(-f["height"] * v // most[1])) // 8)
             own[part] = (total, wide * high)
@@ -499,11 +507,16 @@ def decode(media: list[bytes], tensors: bool = False) -> list[dict]:
     y0, b0, r0 = (np.array([list(w.values())[i] for w in where])[owner] for i in range(3))
     corner = y0 + 4 * wide * (nth // wide) + 2 * (nth % wide)
     luma = np.stack((corner, corner + 1, corner + 2 * wide, corner + 2 * wide + 1), 1)
+    shades = coef
+    if any((q != 1).any() for f in files for q in f["quant"].values()):
+        starts = np.append([b for w in where for b in w.values()], len(coef))
+        steps = np.stack([q for f in files for q in f["quant"].values()])
+        shades = coef * np.repeat(steps, np.diff(starts), 0)
     sums, squares = np.zeros((2, len(files), 3), np.int64)
     shown: list[np.ndarray] = []
     for i in range(0, len(owner), UNITS):
         mine = slice(i, i + UNITS)
-        part = rgb_units(coef, luma[mine], (b0 + nth)[mine], (r0 + nth)[mine])
+        part = rgb_units(shades, luma[mine], (b0 + nth)[mine], (r0 + nth)[mine])
         flat = part.reshape(len(part), 256, 3).astype(np.int64)
         np.add.at(sums, owner[mine], flat.sum(1))
         np.add.at(squares, owner[mine], (flat * flat).sum(1))
@@ -578,18 +591,16 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_bytes, media): each whole text as a progressive JPEG."""
     common.arrow_rows(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return base.mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
+    return base.mapInArrow(words.released(_stored), "doc_id long, n_bytes long, media binary")
 
 
 def read(media: DataFrame, payloads: bool = True, tensors: bool = False) -> DataFrame:
     """Digests, features, payloads and RGB tensors of (doc_id, n_bytes, media)."""
     common.arrow_rows(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_reading(payloads, tensors), _READ_DDL)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(words.released(_reading(payloads, tensors)), _READ_DDL)
 
 
 def stored_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`stored`, then :func:`read`, in one pass over the rows."""
-    common.arrow_rows(docs.sparkSession)
-    reading = _reading(False, False)
-    base = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return base.mapInArrow(lambda batches: reading(_stored(batches)), _READ_DDL).drop("payload", "rgb", "width", "height")
+    """:func:`stored` as a table, :func:`read` from it with the RGB tensors; rows times columns times 3 bytes each."""
+    media = common.table(stored(docs, id_col, text_col), "media")
+    return read(media, payloads=False, tensors=True).drop("payload")

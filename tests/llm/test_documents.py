@@ -57,6 +57,29 @@ def test_media_is_a_jpeg_for_others(spark):
     assert all(abs(int(rgb[2, 2, i]) - (shown >> (16 - 8 * i) & 255)) <= 2 for i in range(3))
 
 
+def test_media_scales_by_the_quantisation_table(spark):
+    own = bytes([40]) + bytes(63)
+    data = media.encode([own])[0]
+    at = data.index(b"\xff\xdb") + 5
+    five = data[:at] + b"\x05" * 64 + data[at + 64 :]
+    jvm = spark.sparkContext._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(five))
+    plain, scaled = media.decode([data, five], True)
+    assert scaled["payload"] == plain["payload"] == own and scaled["feature"] != plain["feature"]
+    shown = image.getRGB(2, 2)
+    assert all(abs(int(scaled["rgb"][2, 2, i]) - (shown >> (16 - 8 * i) & 255)) <= 2 for i in range(3))
+    sizes = data.index(b"\xff\xc2") + 5
+    with pytest.raises(ValueError):
+        media.decode([data[:sizes] + b"\x00\x0f" + data[sizes + 2 :]])
+
+
+def test_features_are_those_of_the_tensors(edge):
+    for r in media.stored_and_read(edge).collect():
+        shown = np.frombuffer(r.rgb, np.uint8).reshape(-1, 3).astype(np.float64)
+        assert len(shown) == r.width * r.height
+        assert r.feature == f"{r.width}x{r.height};" + ",".join(f"{x:.3f}" for x in (*shown.mean(0), *shown.std(0)))
+
+
 def test_media_query(edge, empty):
     rows = media.stored_and_read(edge).collect()
     texts = {r.doc_id: r.text for r in edge.collect()}
