@@ -5,12 +5,11 @@ from __future__ import annotations
 import string
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 _LOWER, _UPPER = string.ascii_lowercase, string.ascii_uppercase
 _UNMASKED = r"[\x00-\x60]"
@@ -50,46 +49,44 @@ def apply_mask(sequence: Column, mask: Column) -> Column:
     return F.when(mask.isNull(), sequence).otherwise(F.array_join(one, ""))
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("len", T.IntegerType())])))
-def mask_runs(texts: pd.Series) -> pd.Series:
-    """Runs of masked characters; null where there is none. One numpy pass a text."""
-
-    def runs(text):
-        if text is None:
-            return None
-        start, end = _runs(text)
-        return [{"start": int(a), "len": int(b - a)} for a, b in zip(start, end, strict=True)] or None
-
-    return texts.map(runs)
-
-
-def _runs(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """First characters of runs of masked characters, and those behind the runs."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    step = np.diff(np.concatenate(([0], (points > 0x60).astype(np.int8), [0])))
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+def flat_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first character, characters) of the runs of masked characters of a string column, in order."""
+    column = column.cast(pa.large_string())
+    offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    whole = column.buffers()[2]
+    raw = np.frombuffer(whole, np.uint8)[offs[0] : offs[-1]] if whole is not None else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = raw > 0x60  # all bytes of a character beyond ASCII, too
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offs] = True  # a run ends with its row
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    row = np.searchsorted(offs, start, "right") - 1
+    if len(raw) and raw.max() >= 0x80:
+        before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        return row, before[start] - before[offs[row]], before[end] - before[start]
+    return row, start - offs[row], end - start
+
+
+@arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("len", T.IntegerType())])))
+def mask_runs(texts: pa.Array) -> pa.Array:
+    """Runs of masked characters; null where there is none. One numpy pass a batch."""
+    row, start, size = flat_runs(texts)
+    runs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["start", "len"])
+    count = np.bincount(row, minlength=len(texts))
+    offs = np.concatenate(([0], np.cumsum(count)))
+    none = pa.array(np.append(count == 0, False))
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32(), mask=none.to_numpy(zero_copy_only=False)), runs)
 
 
 def mask_run_rows(batches):
-    """(id, start, len) rows of the runs of masked characters of Arrow batches (id, text), about 65,536 or a text's runs at a time."""
-
-    def rows(parts):
-        ids, starts, ends = zip(*parts, strict=True)
-        start, end = np.concatenate(starts), np.concatenate(ends)
-        key = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), [len(s) for s in starts])))
-        return pa.record_batch([key, pa.array(start), pa.array(end - start)], names=["doc_id", "start", "len"])
-
+    """(id, start, len) rows of the runs of masked characters of Arrow batches (id, text)."""
     for batch in batches:
-        parts, held = [], 0
-        for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            if (own := text.as_py()) is not None:
-                parts.append((key.as_py(), *_runs(own)))
-                held += len(parts[-1][1])
-            if held >= 65_536:
-                yield rows(parts)
-                parts, held = [], 0
-        if parts:
-            yield rows(parts)
+        row, start, size = flat_runs(batch.column(1))
+        for i in range(0, max(1, len(row)), 65_536):
+            part = slice(i, i + 65_536)
+            yield pa.record_batch([batch.column(0).take(pa.array(row[part])), pa.array(start[part]), pa.array(size[part])], names=["doc_id", "start", "len"])
 
 
 def split_id(line: Column) -> Column:
@@ -110,19 +107,27 @@ def wrapped(sequence: Column, width: int, trailing_blank: bool = False) -> Colum
     return F.concat(cut, F.lit("\n")) if trailing_blank else F.regexp_replace(F.concat(cut, F.lit("\n")), r"\n\n$|^\n$", "\n")
 
 
-def subsequence(sequence: Column, start, end) -> Column:
-    """Characters start to end, 0-based and half-open, clipped to the record; empty if start >= end."""
+def subsequence(sequence: Column, start, end, unit: str = "character") -> Column:
+    """Characters start to end, 0-based and half-open, clipped to the record; empty if start >= end.
+
+    With ``unit="byte"`` positions count UTF-8 bytes, and the part is binary.
+    """
+    if unit == "byte":
+        raw = sequence.cast("binary")
+        low = F.greatest(start if isinstance(start, Column) else F.lit(start), F.lit(0))
+        size = F.greatest(F.least(end if isinstance(end, Column) else F.lit(end), F.octet_length(raw)) - low, F.lit(0))
+        return F.substr(raw, (low + 1).cast("int"), size.cast("int"))
     a = F.greatest(start if isinstance(start, Column) else F.lit(start), F.lit(0))
     b = F.least(end if isinstance(end, Column) else F.lit(end), F.length(sequence))
     return F.when(a >= b, F.when(sequence.isNotNull(), F.lit(""))).otherwise(F.substr(sequence, (a + 1).cast("int"), (b - a).cast("int")))
 
 
-@pandas_udf(T.LongType())
-def hash32(ids: pd.Series) -> pd.Series:
-    """Low 32 bits of XXH3-64, the key of a hashed id index."""
+@arrow_udf(T.LongType())
+def hash32(ids: pa.Array) -> pa.Array:
+    """Low 32 bits of XXH3-64, the key of a hashed id index; xxhash has no form for arrays."""
     import xxhash
 
-    return ids.map(lambda x: None if x is None else xxhash.xxh3_64_intdigest(x.encode()) & 0xFFFFFFFF)
+    return pa.array([None if x is None else xxhash.xxh3_64_intdigest(x) & 0xFFFFFFFF for x in ids.cast(pa.binary()).to_pylist()], pa.int64())
 
 
 def sniff_format(head: Column) -> Column:

@@ -5,35 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the key that rows are summed in; their totals are one small table.
-RANGES = 256
+from strandline.functions import sequence as sq
 
+#: Rows of a range of the key, which is numbered or summed in one task: at most, and at least where cores are free.
+RANGE_ROWS, LEAST_ROWS = 200_000, 1000
 
-def _ranged(df: DataFrame, key: str, ranges: int) -> DataFrame:
-    """``df`` with ``__range``, the number of split points of ``key`` that are not above it."""
-    points = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+
+def split_points(df: DataFrame, key: str, rows: int | None = None) -> list[float]:
+    """Points that part a numeric ``key`` into ranges of about ``rows`` rows at most (``RANGE_ROWS`` by default)."""
+    count = df.count()
+    ranges = max(1 + count // (rows or RANGE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, count // LEAST_ROWS))
+    if ranges == 1:
+        return []
+    return sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+
+
+def _ranged(df: DataFrame, key: str, points: list[float]) -> DataFrame:
+    """``df`` with ``__range``, the number of ``points`` that are not above the key (a binary search on the JVM)."""
     if not points:
         return df.withColumn("__range", F.lit(0))
-    table = F.array(*[F.lit(float(p)) for p in points])
-    return df.withColumn("__range", F.size(F.filter(table, lambda p: p <= F.col(key).cast("double"))))
+    from pyspark.ml.feature import Bucketizer
+
+    cut = Bucketizer(splits=[-float("inf"), *points, float("inf")], inputCol="__number", outputCol="__bucket")
+    found = cut.transform(df.withColumn("__number", F.col(key).cast("double")))
+    return found.withColumn("__range", F.col("__bucket").cast("int")).drop("__number", "__bucket")
 
 
-def running_total(df: DataFrame, key: str, value: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def _bases(own: DataFrame, value: Column) -> list[int]:
+    """The sum of ``value`` over all ranges below each range, and the whole sum."""
+    totals = {r.range: r.n for r in own.groupBy(F.col("__range").alias("range")).agg(F.sum(value).alias("n")).collect()}  # a row a range
+    out = [0]
+    for i in range(max(totals, default=0) + 1):
+        out.append(out[-1] + (totals.get(i) or 0))
+    return out
+
+
+def running_total(df: DataFrame, key: str, value: Column, name: str, points: list[float] | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows with a smaller numeric ``key`` (exclusive).
 
-    Totals by key range give each range its base; the window runs inside a range.
+    Totals by key range give each range its base; the window runs inside a range. It moves all
+    columns of ``df``: hand over narrow ones.
     """
-    own = _ranged(df.withColumn("__value", value.cast("long")), key, ranges)
-    totals = own.groupBy("__range").agg(F.sum("__value").alias("__total"))
-    base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__total")
+    own = _ranged(df.withColumn("__value", value.cast("long")), key, split_points(df, key) if points is None else points)
+    base = F.array(*[F.lit(n).cast("long") for n in _bases(own, F.col("__value"))])
     inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    joined = own.join(F.broadcast(base), "__range")  # at most ``ranges`` rows
-    return joined.withColumn(name, (F.col("__base") + F.coalesce(F.sum("__value").over(inside), F.lit(0))).cast("long")).drop("__range", "__value", "__base")
+    total = F.get(base, F.col("__range")) + F.coalesce(F.sum("__value").over(inside), F.lit(0))
+    return own.withColumn(name, total.cast("long")).drop("__range", "__value")
 
 
-def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", ranges: int = RANGES) -> DataFrame:
-    """Rows numbered from 0 in the order of a unique numeric ``key``."""
-    return running_total(df, key, F.lit(1), name, ranges)
+def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", points: list[float] | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order of a unique numeric ``key``; they come in that order.
+
+    Each range of the key goes to the partition of its number, once, and is sorted there; a row's number is
+    its place behind the rows of the ranges below, which a scan of the key counts.
+    """
+    points = split_points(df, key) if points is None else points
+    own = _ranged(df, key, points)
+    base = F.array(*[F.lit(n).cast("long") for n in _bases(own, F.lit(1))])
+    dealt = own.repartitionById(len(points) + 1, F.col("__range")).sortWithinPartitions(key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn(name, (F.get(base, F.col("__range")) + place).cast("long")).drop("__range")
+
+
+def row_at(df: DataFrame, key: str, ordinal: int, points: list[float] | None = None) -> DataFrame:
+    """The row of an ordinal in the order of a unique numeric ``key``: a scan of the key finds its range, and only that is read."""
+    points = split_points(df, key) if points is None else points
+    bases = _bases(_ranged(df.select(key), key, points), F.lit(1))
+    if not 0 <= ordinal < bases[-1]:
+        return df.limit(0).withColumn("ordinal", F.lit(ordinal).cast("long"))
+    at = max(i for i, n in enumerate(bases) if n <= ordinal)
+    number = F.col(key).cast("double") if points else F.lit(0.0)
+    low = number >= points[at - 1] if at else F.lit(True)
+    high = number < points[at] if at < len(points) else F.lit(True)
+    return df.where(low & high).orderBy(key).offset(ordinal - bases[at]).limit(1).withColumn("ordinal", F.lit(ordinal).cast("long"))
 
 
 def records(df: DataFrame, id_col: str, sequence: Column, header: Column | None = None, scores: Column | None = None) -> DataFrame:
@@ -51,6 +95,70 @@ def pack_locs(lengths: DataFrame, block_size: int, key: str = "ordinal", length:
     return cut.select(key, F.col("piece").cast("int").alias("piece"), F.col("block").cast("long").alias("block"), (low - F.col("block") * block_size).cast("long").alias("start"), (high - low).cast("long").alias("len"))
 
 
+#: Streams of a record and their columns; a mask counts a character each, other streams bytes or characters of their text.
+STREAMS = ("ids", "headers", "sequence", "masking", "scores")
+
+
+def streams(records: DataFrame) -> DataFrame:
+    """(ordinal, stream, content) of (ordinal, id, header, sequence, scores): absent streams have no row."""
+    sequence = F.col("sequence")
+    parts = [F.col("id"), F.col("header"), sq.ascii_upper(sequence), sq.mask_or_null(sequence), F.col("scores")]
+    held = F.array(*[F.struct(F.lit(n).alias("stream"), c.alias("content")) for n, c in zip(STREAMS, parts, strict=True)])
+    return records.select("ordinal", F.explode(held).alias("s")).select("ordinal", "s.*").where("content <> ''")
+
+
+def stream_locs(records: DataFrame, block_size: int) -> DataFrame:
+    """(ordinal, stream, piece, block, start, len): :func:`pack_locs` for each stream of its own."""
+    size = streams(records).select("ordinal", "stream", F.length("content").cast("long").alias("n"))
+    parts = [pack_locs(size.where(F.col("stream") == s), block_size).withColumn("stream", F.lit(s)) for s in STREAMS]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("ordinal", "stream", "piece", "block", "start", "len")
+
+
+def stream_blocks(locs: DataFrame, records: DataFrame) -> DataFrame:
+    """(stream, block, data) of the streams' contents."""
+    before = Window.partitionBy("ordinal", "stream").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = locs.withColumn("at", F.coalesce(F.sum("len").over(before), F.lit(0)))
+    piece = placed.join(streams(records), ["ordinal", "stream"]).select("stream", "block", "start", F.substr("content", (F.col("at") + 1).cast("int"), F.col("len").cast("int")).alias("s"))
+    return piece.groupBy("stream", "block").agg(F.array_sort(F.collect_list(F.struct("start", "s"))).alias("p")).select("stream", "block", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("data"))
+
+
+def records_by_locs(locs: DataFrame, block_table: DataFrame) -> DataFrame:
+    """(ordinal, id, header, sequence, scores), masks applied, of the records that pointer rows address."""
+    part = locs.join(block_table, ["stream", "block"]).select("ordinal", "stream", "piece", F.substr("data", (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("s"))
+    whole = part.groupBy("ordinal", "stream").agg(F.array_sort(F.collect_list(F.struct("piece", "s"))).alias("p"))
+    whole = whole.select("ordinal", "stream", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("content"))
+    rows = whole.groupBy("ordinal").agg(*[F.max(F.when(F.col("stream") == s, F.col("content"))).alias(s) for s in STREAMS])
+    return rows.select("ordinal", F.col("ids").alias("id"), F.col("headers").alias("header"), sq.apply_mask(F.col("sequence"), F.col("masking")).alias("sequence"), "scores")
+
+
+def presence(locs: DataFrame) -> DataFrame:
+    """(ordinal, has_ids, has_headers, ...): which streams a record has pointers to."""
+    return locs.groupBy("ordinal").agg(*[F.bool_or(F.col("stream") == s).alias(f"has_{s}") for s in STREAMS])
+
+
+def pointer_ranges(locs: DataFrame) -> DataFrame:
+    """(ordinal, stream, first, pointers): where a record's pointers lie in its stream's vector of pointers, by ordinal."""
+    counts = locs.groupBy("ordinal", "stream").agg(F.count("*").alias("pointers"))
+    parts = [running_total(counts.where(F.col("stream") == s), "ordinal", F.col("pointers"), "first") for s in STREAMS]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("ordinal", "stream", "first", "pointers")
+
+
+def stream_bytes(records: DataFrame) -> DataFrame:
+    """(stream, records, bytes) that a collection holds."""
+    return streams(records).groupBy("stream").agg(F.count("*").alias("records"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+
+
+def loc_slice(start: Column, length: Column, low: Column, high: Column) -> Column:
+    """The part [low, high) of an address as (start, len); not clamped to the address, never below 0."""
+    return F.struct((start + low).cast("long").alias("start"), F.greatest(high - low, F.lit(0)).cast("long").alias("len"))
+
+
 def location_splits(locs: DataFrame, key: str = "ordinal") -> DataFrame:
     """``locs`` with the half-open range [split_start, split_end) of the record that each one holds."""
     before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as sq
 
-#: Requests up to which a list is sent to all tasks; longer ones are shuffled.
+#: Requests up to which a list is sent to all tasks, after its size is checked; longer ones are shuffled.
 BROADCAST_REQUESTS = 100_000
+#: Requests up to which ids are literals of the plan.
+LITERALS = 2000
+#: Ranges of requested ids that reach the Parquet scan as a filter.
+COVERS = 64
 
 
 def find(records: DataFrame, name: str, id_case: str = "exact") -> DataFrame:
@@ -24,19 +29,54 @@ def by_ordinal(records: DataFrame, ordinal: int) -> DataFrame:
 
 def requests(records: DataFrame, names: list[str]) -> DataFrame:
     """(pos, id) of a request list."""
-    return records.sparkSession.createDataFrame(list(enumerate(names)), "pos long, id string")
+    return records.sparkSession.createDataFrame(pa.table({"pos": pa.array(range(len(names)), pa.int64()), "id": pa.array(names, pa.string())}))
 
 
-def find_many(records: DataFrame, wanted: DataFrame, rows: int | None = None) -> DataFrame:
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(names: list[str]) -> Column:
+    """Whether id is one of ``names``, as one parsed expression."""
+    return F.expr(f"id IN ({', '.join(map(_quoted, names))})") if names else F.lit(False)
+
+
+def covered(names: list[str], parts: int = COVERS) -> Column:
+    """A condition on id that all names meet, in at most ``parts`` ranges: statistics of sorted ids prune by it."""
+    known = sorted(set(names), key=str.encode)
+    step = -(-len(known) // parts) or 1
+    runs = [known[i : i + step] for i in range(0, len(known), step)]
+    each = [f"id = {_quoted(run[0])}" if len(run) == 1 else f"(id >= {_quoted(run[0])} AND id <= {_quoted(run[-1])})" for run in runs] or ["false"]
+    while len(each) > 1:
+        each = [f"({each[i]} OR {each[i + 1]})" if i + 1 < len(each) else each[i] for i in range(0, len(each), 2)]
+    return F.expr(each[0])
+
+
+def find_many(records: DataFrame, wanted: DataFrame, rows: int | None = None, on_missing: str = "null", first: bool = False) -> DataFrame:
     """Records for (pos, id) requests; a miss is a row with a null sequence, repeats are repeated.
 
-    ``rows`` is the number of requests if known; up to BROADCAST_REQUESTS the records are
-    filtered where they are read and only hits move.
+    Up to BROADCAST_REQUESTS, which is checked, the requested ids go into the scan as ranges and the records are
+    filtered where they are read, so only hits move. ``on_missing="error"`` raises for a miss, ``first=True`` keeps
+    the record with the smallest ordinal of an id. ``rows``, the number of requests, is a hint.
     """
-    if rows is not None and rows <= BROADCAST_REQUESTS:
-        hits = records.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi")
-        return wanted.join(hits, "id", "left")
-    return wanted.join(records, "id", "left")
+    hits = records
+    if rows is None or rows <= BROADCAST_REQUESTS:
+        names = [r.id for r in wanted.select("id").distinct().limit(BROADCAST_REQUESTS + 1).collect()]
+        if len(names) <= BROADCAST_REQUESTS:
+            names = [n for n in names if n is not None]
+            hits = records.where(covered(names))
+            if len(names) <= LITERALS:
+                hits = hits.where(listed(names))
+            else:
+                hits = hits.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi")
+    if on_missing == "error":
+        lost = wanted.join(hits.select("id"), "id", "left_anti").limit(5).collect()
+        if lost:
+            raise KeyError(f"no record of {', '.join(sorted(str(r.id) for r in lost))}")
+    if first:
+        best = hits.groupBy("id").agg(F.min("ordinal").alias("ordinal"))
+        hits = hits.join(best, ["id", "ordinal"], "left_semi")
+    return wanted.join(hits, "id", "left")
 
 
 def missing_ids(records: DataFrame, wanted: DataFrame) -> DataFrame:

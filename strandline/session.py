@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,16 @@ def local_session(cores: str = "8", name: str = "strandline") -> SparkSession:
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for intermediate files below ``spark.checkpoint.dir``, which driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file:///tmp/checkpoints/strandline-{os.getuid()}"
+    return f"{folder.rstrip('/')}/strandline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's sources to the executors once a session, so that
     Python stages can import it wherever the driver was started."""

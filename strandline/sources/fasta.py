@@ -1,4 +1,4 @@
-"""FASTA text as a DataFrame source; plain, gzip and bzip2 files."""
+"""FASTA text as a DataFrame source; plain, gzip, bzip2 and xz files."""
 
 from __future__ import annotations
 
@@ -22,11 +22,50 @@ def read_fasta(spark: SparkSession, path: str, word_only: bool = False) -> DataF
 
     ``offset_key`` orders the records of a file.
     """
+    if path.endswith(".xz"):
+        return _read_xz(spark, path, word_only)
     raw = spark.read.option("lineSep", "\n>").text(path)
     at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
     return raw.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), at.alias("offset_key"), *parsed(F.col("value"), word_only))
 
 
+def _read_xz(spark: SparkSession, path: str, word_only: bool) -> DataFrame:
+    """Records of xz files, for which Spark has no codec: a task streams a file through Python."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    rows = files.mapInArrow(_xz_records, "path string, at long, value string")
+    at = F.struct(F.lit(0).cast("long").alias("split"), F.col("at").alias("row"))
+    return rows.where(F.trim("value") != "").select(F.col("path").alias("file"), at.alias("offset_key"), *parsed(F.col("value"), word_only))
+
+
+def _xz_records(batches):
+    import lzma
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("value", pa.string())])
+
+    def flush(path, first, held):
+        rows = [b"".join(x).decode("utf-8", "replace") for x in held]
+        return pa.record_batch([pa.array([path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.string())], schema=schema)
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as raw, lzma.open(raw, "rb") as stream:
+                held, first, size = [], 0, 0
+                for line in stream:
+                    if line.startswith(b">") or not held:
+                        if size > 1 << 22:
+                            yield flush(path, first, held)
+                            first, held, size = first + len(held), [], 0
+                        held.append([])
+                    held[-1].append(line)
+                    size += len(line)
+                if held:
+                    yield flush(path, first, held)
+
+
 def numbered(records: DataFrame) -> DataFrame:
     """``records`` of a source with ``ordinal``: files by name, records in file order.
 

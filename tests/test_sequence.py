@@ -5,6 +5,7 @@ import os
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def test_slices(spark, locs, a, b, out):
 
 def test_running_total_has_no_gaps(spark):
     df = spark.range(1000).withColumn("n", F.pmod(F.col("id") * 7, F.lit(5)))
-    rows = addressing.running_total(df, "id", F.col("n"), "before", 16).orderBy("id").collect()
+    rows = addressing.running_total(df, "id", F.col("n"), "before", [100.0, 100.5, 640.0]).orderBy("id").collect()
     total = 0
     for r in rows:
         assert r.before == total
@@ -164,15 +165,112 @@ def test_queries_match_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in own.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
-def test_whole_documents_match_brute_force(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
-    run = lambda name: catalogue.QUERIES[name](spark, DATA).collect()
-    heads = {}
-    for key, text in texts.items():
-        line = text.replace("\n", " ")
-        parts = line.split(" ")
-        heads[key] = (parts[0], line.split(" ", 1)[1] if " " in line else None, parts[1] if " " in line else None)
-    assert {r.doc_id: (r.id, r.header, r.word) for r in run("split_id_header_whole")} == heads
-    runs = sorted((key, m.start(), len(m[0])) for key, text in texts.items() for m in re.finditer("[^\x00-\x60]+", text))
-    assert sorted(tuple(r) for r in run("mask_runs_documents")) == runs
-    assert {r.ordinal: r.sequence for r in run("reassemble_documents")} == {k: t for k, t in texts.items() if t}
+def test_hash32_golden_values(spark):
+    """XXH3-64 of the empty text is published; the hash is its low half, whatever the batch."""
+    assert one(spark, sq.hash32("s"), s="") == 0x38D394C2
+    import xxhash
+
+    rows = spark.createDataFrame([("chr1",), ("é",), (None,)], "s string").select("s", sq.hash32("s").alias("h")).collect()
+    assert [(r.s, r.h) for r in rows] == [("chr1", xxhash.xxh3_64(b"chr1").intdigest() % 2**32), ("é", xxhash.xxh3_64("é".encode()).intdigest() % 2**32), (None, None)]
+
+
+def test_runs_of_a_batch():
+    texts = ["aC1{é0gT", "", None, "ACGT", "acgt", "acgt", "日本A語"]
+    row, start, size = sq.flat_runs(pa.array(texts))
+    want = [(i, m.start(), len(m[0])) for i, t in enumerate(texts) for m in re.finditer("[^\x00-\x60]+", t or "")]
+    assert list(zip(row.tolist(), start.tolist(), size.tolist(), strict=True)) == want
+    row, start, size = sq.flat_runs(pa.array(texts).slice(4))
+    assert list(zip(row.tolist(), start.tolist(), size.tolist(), strict=True)) == [(i - 4, a, n) for i, a, n in want if i >= 4]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 400, 5000])
+def test_ordinals_over_ranges(spark, rows, monkeypatch):
+    monkeypatch.setattr(addressing, "RANGE_ROWS", 300)
+    df = spark.range(rows).select((F.col("id") * 37 % 10007).alias("k"), F.repeat(F.lit("x"), 5).alias("s")).repartition(7)
+    keys = sorted(i * 37 % 10007 for i in range(rows))
+    numbered = addressing.with_ordinal(df, "k").collect()
+    assert [(r.ordinal, r.k) for r in numbered] == list(enumerate(keys))  # in order, too
+    for at in (0, rows // 2, rows - 1):
+        assert [(r.ordinal, r.k) for r in addressing.row_at(df, "k", at).collect()] == [(at, keys[at])]
+    assert addressing.row_at(df, "k", rows).count() == addressing.row_at(df, "k", -1).count() == 0
+    total = addressing.running_total(df.select("k"), "k", F.col("k"), "before").collect()
+    assert {r.k: r.before for r in total} == {k: sum(keys[:i]) for i, k in enumerate(keys)}
+
+
+def test_one_shuffle_of_text(spark):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    own = plan(catalogue.QUERIES["scan_linear"](spark, DATA))
+    physical = own[own.index("== Physical Plan =="):]
+    assert physical.count("Exchange") == 1 and "Window" not in physical
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert "hashpartitioning" not in plan(addressing.row_at(docs, "doc_id", 5)) and "Window" not in plan(addressing.row_at(docs, "doc_id", 5)).split("== Physical Plan ==")[1]
+
+
+def test_batch_lookups_prune(spark, tmp_path):
+    records = spark.range(20_000).select(F.col("id").alias("ordinal"), F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.lit(None).cast("string").alias("header"), F.lit("ACGT").alias("sequence"), F.lit(None).cast("string").alias("scores"))
+    dataset.write_dataset(records.repartition(4), str(tmp_path / "d"))
+    own = dataset.read_dataset(spark, str(tmp_path / "d"))
+    names = [f"r{i:06}" for i in range(0, 1000)]
+    hits = lookup.find_many(own, lookup.requests(own, names))
+    assert "GreaterThanOrEqual(id,r000000)" in hits._jdf.queryExecution().toString()
+    assert hits.count() == 1000 and hits.where("sequence is null").count() == 0
+    assert [r.id for r in dataset.record_at(spark, str(tmp_path / "d"), 77).collect()] == ["r000077"] and dataset.record_at(spark, str(tmp_path / "d"), 20_000).count() == 0
+    with pytest.raises(KeyError, match="nope"):
+        lookup.find_many(own, lookup.requests(own, ["r000001", "nope"]), on_missing="error")
+    twice = own.unionByName(own.withColumn("ordinal", F.col("ordinal") + 50_000))
+    assert [r.ordinal for r in lookup.find_many(twice, lookup.requests(own, ["r000003"]), first=True).collect()] == [3]
+
+
+def test_golden_records(spark, tmp_path):
+    """Ten records, ids that repeat, one line each and no final line feed: count, lookup, slices and order."""
+    import random
+
+    rnd = random.Random(1)
+    sizes = [("test", 13544), ("test2", 171593), ("test3", 48598), ("test4", 10761), ("test5", 7784), ("test", 13544), ("test2", 171593), ("test3000", 48598), ("test4", 10761), ("test5", 7784)]
+    rows = [(n, "".join(rnd.choice("ACGT") for _ in range(k))) for n, k in sizes]
+    rows[2] = ("test3", rows[2][1][:-10] + "ATGTACAGCG")
+    (tmp_path / "a.fasta").write_text("\n".join(f">{n}\n{x}" for n, x in rows))
+    dataset.convert(spark, str(tmp_path / "a.fasta"), str(tmp_path / "d"))
+    own = dataset.read_dataset(spark, str(tmp_path / "d"))
+    assert own.count() == 10 and [(r.id, r.sequence) for r in own.orderBy("ordinal").collect()] == rows
+    hit = lookup.find(own, "test3").collect()
+    assert len(hit) == 1 and len(hit[0].sequence) == 48598 and hit[0].sequence.endswith("ATGTACAGCG") and hit[0].mask is None
+    parts = lookup.find_ranges(own, ["test3:1-100", "test3:48001-48100"]).orderBy("pos").collect()
+    assert [p.sequence for p in parts] == [rows[2][1][:100], rows[2][1][48000:48100]]
+    with pytest.raises(ValueError):
+        spark.createDataFrame([(2,)], "version int").selectExpr(*[f"cast(null as {p.split()[1]}) {p.split()[0]}" if p.split()[0] != "version" else "version" for p in dataset.METADATA.split(", ")]).write.mode("overwrite").parquet(str(tmp_path / "d/metadata"))
+        dataset.read_dataset(spark, str(tmp_path / "d"))
+
+
+def test_xz_yaml_and_flags(spark, tmp_path):
+    import lzma
+
+    with lzma.open(tmp_path / "a.fa.xz", "wb") as f:
+        f.write(b">a x y\nAC\nGt\n>b\nTT\n>c \n")
+    (tmp_path / "m.yaml").write_text("title: Ten\nnotes: none\n")
+    dataset.convert(spark, str(tmp_path / "a.fa.xz"), str(tmp_path / "d"), flags={"fast", "gzip"}, level=2, block_kib=4096, metadata_yaml=str(tmp_path / "m.yaml"))
+    own = dataset.read_dataset(spark, str(tmp_path / "d")).orderBy("ordinal")
+    assert [tuple(r) for r in own.select("ordinal", "id", "header", dataset.unmasked_text()).collect()] == [(0, "a", "x y", "ACGt"), (1, "b", None, "TT"), (2, "c", "", "")]
+    about = dataset.read_metadata(spark, str(tmp_path / "d")).first()
+    assert (about.title, about.block_size) == ("Ten", 4096 << 10)
+    assert {f.name.split(".")[-2] for f in (tmp_path / "d/records").iterdir() if f.name.endswith(".parquet")} == {"gz"}
+    (tmp_path / "bad.yaml").write_text("colour: red\n")
+    with pytest.raises(ValueError, match="colour"):
+        dataset.metadata_from_yaml(str(tmp_path / "bad.yaml"))
+
+
+def test_pointers_to_streams(spark):
+    records = spark.createDataFrame([(0, "a", "h one", "acGT" * 9, None), (1, "bb", None, "", "II"), (2, "c", "x", "ACGT", "IIII")], "ordinal long, id string, header string, sequence string, scores string")
+    locs = addressing.stream_locs(records, 10)
+    back = addressing.records_by_locs(locs, addressing.stream_blocks(locs, records)).orderBy("ordinal").collect()
+    assert [tuple(r) for r in back] == [(0, "a", "h one", "acGT" * 9, None), (1, "bb", None, None, "II"), (2, "c", "x", "ACGT", "IIII")]
+    has = {r.ordinal: (r.has_headers, r.has_sequence, r.has_masking, r.has_scores) for r in addressing.presence(locs).collect()}
+    assert has == {0: (True, True, True, False), 1: (False, False, False, True), 2: (True, True, False, True)}
+    assert {(r.ordinal, r.first, r.pointers) for r in addressing.pointer_ranges(locs).collect() if r.stream == "sequence"} == {(0, 0, 4), (2, 4, 1)}
+
+
+def test_ids_are_written_in_order(spark, tmp_path):
+    records = spark.range(500).select((499 - F.col("id")).alias("ordinal"), F.col("id").cast("string").alias("id")).repartition(5)
+    dataset.write_ids(records, str(tmp_path / "ids"))
+    lines = [x for f in sorted((tmp_path / "ids").glob("part-*")) for x in f.read_text().split()]
+    assert lines == [str(499 - i) for i in range(500)]
