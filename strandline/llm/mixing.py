@@ -249,11 +249,6 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], t
     return plan
 
 
-def _copies(rate: Column, id_col: str, text_col: str) -> Column:
-    chance = F.pmod(F.xxhash64(id_col, text_col, F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return F.floor(rate + chance).cast("long")
-
-
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, tokens, domain, posterior, rate, copies, residual): the likeliest domain and its posterior, for each row; the fit's largest relative miss."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
@@ -265,19 +260,24 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     return table.select(F.col("id").alias(id_col), "tokens", name.alias("domain"), top.alias("posterior"), plan.rate(posts).alias("rate"), F.floor(plan.rate(posts) + F.col("chance")).cast("long").alias("copies"), F.lit(plan.residual).alias("residual"))
 
 
-def _fitted(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None, least: float, id_col: str, text_col: str):
+def _fitted(docs: DataFrame, model: Classifier, weights: dict[str, float], total: float | None, least: float, id_col: str, text_col: str, carried: list[str] | None = None):
+    """(written table of tokens, posteriors and the ``carried`` columns, as __own0, ..., plan, posterior columns)."""
     chance = F.pmod(F.xxhash64(id_col, text_col, F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    own = with_posteriors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), chance.alias("chance")), model)
-    table = common.table(own.select("id", token_count(F.col("text")).alias("tokens"), "chance", *[F.col(f"__p{i}").alias(f"p{i}") for i in range(len(model.domains))]), "posteriors")
+    others = [F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(carried or [])]
+    own = with_posteriors(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), chance.alias("chance"), *others), model, "__text")
+    posts = [F.col(f"__p{i}").alias(f"p{i}") for i in range(len(model.domains))]
+    table = common.table(own.select("id", token_count(F.col("__text")).alias("tokens"), "chance", *posts, *[f"__own{i}" for i in range(len(others))]), "posteriors")
     plan = fit_rates(table, model.domains, weights, total, least)
     return table, plan, [F.col(f"p{i}") for i in range(len(model.domains))]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as often as its rate says, rounded by the hash of its id and text."""
+    """``docs`` with each row as often as its rate says, rounded by the hash of its id and text.
+
+    Rows are written once beside their posteriors, so that the classifier runs once over the texts.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    _, plan, _ = _fitted(docs, model, weights or WEIGHTS, total, least, id_col, text_col)
-    own = with_posteriors(docs, model, text_col)
-    rate = plan.rate([F.col(f"__p{i}") for i in range(len(model.domains))])
-    times = own.withColumn("__copies", _copies(rate, id_col, text_col)).where("__copies > 0")
-    return times.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies, 1L)"))).select(*docs.columns)
+    table, plan, posts = _fitted(docs, model, weights or WEIGHTS, total, least, id_col, text_col, docs.columns)
+    times = table.withColumn("__copies", F.floor(plan.rate(posts) + F.col("chance")).cast("long")).where("__copies > 0")
+    copies = times.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies, 1L)")))
+    return copies.select(*[F.col(f"__own{i}").alias(c) for i, c in enumerate(docs.columns)])
