@@ -43,7 +43,7 @@ from strandline.llm import common, words
 #: Members of a cell that one chunk of a task sends to where the cell is gathered.
 OPEN = 8
 #: Pairs of key and set that a task packs at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Shingles of the members of a cell that stand on one side of an R-tree join, and those that one task call works on, about.
 TILE, CALL = 1 << 18, 1 << 20
 #: Coordinates of the count vectors.

@@ -103,6 +103,8 @@ def fast_ids(path: str) -> FastIds:
     return FastIds(path)
 
 
+words.caches["ids"] = fast_ids.cache_clear
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("turn", pa.int64())])
 
 
@@ -125,7 +127,7 @@ def tokenised(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
     """(doc_id, piece, start, length, ids, turn): pieces of at most ``capacity`` ids; ``ids`` are their bytes, ``turn`` tells repeated rows of a task apart."""
     common.arrow_rows(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return base.mapInArrow(words.released(_tokenised(path or vocabulary(), capacity)), "doc_id long, piece int, start long, length long, ids binary, turn long")
+    return base.mapInArrow(words.released(_tokenised(path or vocabulary(), capacity), "ids"), "doc_id long, piece int, start long, length long, ids binary, turn long")
 
 
 def in_passes(lengths: np.ndarray, passes: int = PASSES) -> np.ndarray:

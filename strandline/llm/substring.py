@@ -37,7 +37,7 @@ REACH = 5
 #: Least number of words of a part of a line; cuts at minima among ``REACH`` neighbours leave no shorter ones.
 WORDS = REACH
 #: Units that a task groups at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _LOWER, _SPACE = words.lower_table(), words.space_table()
 

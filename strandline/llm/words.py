@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; one longer text is worked on alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,24 +92,33 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed * 2 + 1)), forth, back
 
 
-#: Powers of a seed that a worker keeps; those of longer inputs are made anew each time.
+#: Powers of a seed that a worker keeps, in two sizes; those of longer inputs are made anew each time.
 _held = lru_cache(8)(_powers)
+_SIZES = 1 << 16, 2 * SLICE_BYTES
+#: What empties the caches of operators, by name: a worker that turns to another operator drops them.
+caches = {}
 
 
 def run_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = 11) -> np.ndarray:
     """A 64-bit hash of values[start:stop] of each run. Bytes go through a table first."""
-    size = 1 << max(16, int(len(values)).bit_length())
-    table, forth, back = _held(seed, size) if size <= 2 * SLICE_BYTES else _powers(seed, size)
+    size = next((n for n in _SIZES if len(values) < n), len(values) + 1)
+    table, forth, back = (_held if size <= _SIZES[-1] else _powers)(seed, size)
     own = table[values] if values.dtype == np.uint8 else mix(values + np.uint64(seed))
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(own * forth[: len(values)], out=total[1:])
     return mix((total[stop] - total[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
-def released(run):
-    """``run``, a function from batches to batches, giving memory back at its end: the next stage shares the worker."""
+def released(run, keep: str = ""):
+    """``run``, a function from batches to batches, giving memory back at its end: the next stage shares the worker.
+
+    Caches but the one named ``keep`` go first.
+    """
 
     def whole(batches):
+        for name, empty in caches.items():
+            if name != keep:
+                empty()
         yield from run(batches)
         trim()
 
