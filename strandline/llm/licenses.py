@@ -5,8 +5,8 @@ over all documents, and the index holds, for each template, the positions of its
 ``RARE`` rarest words. All index words of a file are looked up; a posting at position q met at word p votes that the template
 begins at word p - q. Where ``VOTES`` different words agree, one of the template's mandatory key
 phrases must stand at its place, ``SLACK`` words off at most. The share of the template's words that stand
-at their places is the score. Some phrases are labels by themselves: every place where
-their words stand consecutively counts.
+at their places is the score. Some phrases are labels by themselves and in the index too: the postings of their
+``VOTES`` rarest words, moved back by the words' positions, are intersected, and where all words stand is a place.
 
 Words are runs of digits, a-z and characters from U+0080 up, after A-Z are lower-cased; they
 are compared by 64-bit hashes.
@@ -70,8 +70,8 @@ def hashed(text: str) -> np.ndarray:
 
 
 def vocabulary() -> np.ndarray:
-    """Sorted hashes of all template words."""
-    return np.unique(np.concatenate([hashed(t) for _, t, _ in TEMPLATES]))
+    """Sorted hashes of all words of templates and phrases."""
+    return np.unique(np.concatenate([hashed(t) for t in (*PHRASES, *(t for _, t, _ in TEMPLATES))]))
 
 
 def _document_words(column):
@@ -116,7 +116,7 @@ def rarities(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
 
 
 class Index:
-    """Postings (template, position) of the rare words of the templates."""
+    """Postings (template, position) of the rare words of the templates, and the rare words of the phrases."""
 
     def __init__(self, idf: dict[int, float]):
         self.templates = [hashed(t) for _, t, _ in TEMPLATES]
@@ -133,7 +133,28 @@ class Index:
             self.rare.append(len(rare))
             for h in rare:
                 self.postings.setdefault(h, []).extend((t, q) for q in np.flatnonzero(own == np.uint64(h)).tolist())
-        self.words = np.array(sorted(self.postings), np.uint64)
+        self.phrases = []
+        for text, label in PHRASES.items():
+            own = hashed(text)
+            rare = sorted(range(len(own)), key=lambda q: (-idf.get(int(own[q]), 0), q))[:VOTES]
+            self.phrases.append((own, label, rare))
+        self.words = np.array(sorted({*self.postings, *(int(own[q]) for own, _, rare in self.phrases for q in rare)}), np.uint64)
+
+    def places(self, own: np.ndarray, row: np.ndarray, hits: np.ndarray):
+        """(label, places) of each phrase among the words of some files; ``hits`` are the places of index words."""
+        number = np.searchsorted(self.words, own[hits])
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(len(self.words) + 1))
+        for phrase, label, rare in self.phrases:
+            at = None
+            for q in rare:
+                w = int(np.searchsorted(self.words, phrase[q]))
+                moved = hits[order[cuts[w] : cuts[w + 1]]] - q
+                at = moved if at is None else np.intersect1d(at, moved, assume_unique=True)
+            at = at[(at >= 0) & (at + len(phrase) <= len(own))]
+            for j, h in enumerate(phrase):
+                at = at[own[at + j] == h]
+            yield label, at[row[at] == row[at + len(phrase) - 1]]
 
     def matches(self, own: np.ndarray, places: np.ndarray) -> dict[str, float]:
         """Score by label of a file, from its word hashes and the places of its index words."""
@@ -143,7 +164,7 @@ class Index:
         votes: dict[tuple[int, int], set[int]] = {}
         for h, found in by_word.items():
             for p in found:
-                for t, q in self.postings[h]:
+                for t, q in self.postings.get(h, ()):
                     votes.setdefault((t, p - q), set()).add(h)
         out: dict[str, float] = {}
         for (t, at), agree in votes.items():
@@ -167,22 +188,15 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa
 def _scanned(idf: dict[int, float]):
     def run(batches):
         index = Index(idf)
-        phrases = [(hashed(p), label) for p, label in PHRASES.items()]
         for batch in batches:
             for lo, n, own, row in _document_words(batch.column(1)):
                 size = np.bincount(row, minlength=n)
                 first = np.concatenate(([0], np.cumsum(size)))
                 base: dict[int, list[tuple[int, str]]] = {}
-                for phrase, label in phrases:
-                    k = len(phrase)
-                    if len(own) >= k:
-                        at = np.flatnonzero(own[: len(own) - k + 1] == phrase[0])
-                        for j in range(1, k):
-                            at = at[own[at + j] == phrase[j]]
-                        at = at[row[at] == row[at + k - 1]]
-                        for r, p in zip(row[at].tolist(), (at - first[row[at]]).tolist(), strict=True):
-                            base.setdefault(r, []).append((p, label))
                 hits = np.flatnonzero(_held(own, index.words) >= 0)
+                for label, at in index.places(own, row, hits):
+                    for r, p in zip(row[at].tolist(), (at - first[row[at]]).tolist(), strict=True):
+                        base.setdefault(r, []).append((p, label))
                 cuts = np.searchsorted(row[hits], np.arange(n + 1))
                 several = np.flatnonzero(np.diff(cuts) >= VOTES)
                 found = {r: index.matches(own[first[r] : first[r + 1]], hits[cuts[r] : cuts[r + 1]] - first[r]) for r in several.tolist()}
