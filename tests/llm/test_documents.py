@@ -116,18 +116,81 @@ def test_licences_of_a_notice_with_all_templates(spark):
     assert (rows[0].labels, rows[0].score) == (labels, 1.0) and (rows[1].labels, rows[1].score) == (labels, 1.0) and rows[2].labels == ""
 
 
+def plain_licences(texts):
+    """(labels, score) of each text, every alignment of every template tried."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = {key: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low)) for key, t in texts.items()}
+    held = Counter(w for ws in own.values() for w in set(ws))
+    out = {}
+    for key, ws in own.items():
+        named = {label for _, label in licenses.plain_scan(texts[key])[1]}
+        score = float(bool(named))
+        for label, text, phrases in licenses.TEMPLATES:
+            template = text.split()
+            rare = sorted(set(template), key=lambda w: (-math.log((len(own) + 1) / (held[w] + 0.5)), int(licenses.hashed(w)[0])))[: licenses.RARE]
+            keys = [(next(q for q in range(len(template)) if template[q:][: len(p)] == p), p) for p in map(str.split, phrases)]
+            for at in range(-len(template) + 1, len(ws)):
+                same = [w for q, w in enumerate(template) if 0 <= at + q < len(ws) and ws[at + q] == w]
+                near = range(-licenses.SLACK, licenses.SLACK + 1)
+                if len(set(same) & set(rare)) >= licenses.VOTES and all(any(at + q + s >= 0 and ws[at + q + s : at + q + s + len(p)] == p for s in near) for q, p in keys):
+                    named.add(label)
+                    score = max(score, len(same) / len(template))
+        out[key] = (",".join(sorted(named)), score)
+    return out
+
+
+def test_licences_match_every_alignment(spark, edge):
+    """Whole and damaged notices, of words that are rare or common in the table, in texts of other words."""
+    rnd, rows = random.Random(21), []
+    vocabulary = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) + [f"w{i}" for i in range(60)]
+    for i in range(160):
+        own = [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 40))]
+        for _ in range(rnd.randrange(0, 4)):
+            notice = rnd.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rnd.randrange(0, 3)):
+                q = rnd.randrange(len(notice))
+                notice[q : q + rnd.randrange(0, 2)] = rnd.choice([[], ["x"], ["License"]])
+            at = rnd.randrange(len(own) + 1)
+            own[at:at] = notice
+        rows.append((1000 + i, rnd.choice([" ", ", ", "\n"]).join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(edge.select("doc_id", "text").where("length(text) < 100 or text is null").dropDuplicates(["doc_id"]))
+    want = plain_licences({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.licences(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want) and len({v for v, _ in want.values()}) > 20
+
+
+def plain_units(text):
+    """(start, words) of the units of a text, by the rule in words."""
+    low, out = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), []
+    at = 0
+    for line in text.split("\n"):
+        own = [(at + m.start(), m[0].translate(low)) for m in re.finditer("[^\x20\x09-\x0d]+", line)]
+        raws = [np.frombuffer(w.encode(), np.uint8) for _, w in own]
+        least = [int(words.run_hashes(raw, np.array([0]), np.array([len(raw)]))[0]) for raw in raws]
+        r, begin = substring.REACH, 0
+        for i in range(1, len(own) + 1):
+            whole = i == len(own)
+            if whole or (i >= r and i + r < len(own) and least[i] < min(least[i - r : i]) and least[i] <= min(least[i + 1 : i + r + 1])):
+                out.append((own[begin][0], tuple(w for _, w in own[begin:i])))
+                begin = i
+        at += len(line) + 1
+    return out
+
+
 def plain_dedup(rows):
-    """Kept ranges of each (id, text), by the rule in words."""
-    found = {}
-    for key, text in rows:
-        raw, offs = words.buffers(pa.array([text]))
-        start, _, size, d1, d2 = substring.units(raw, offs)
-        found[key] = list(zip(start.tolist(), size.tolist(), zip(d1.tolist(), d2.tolist(), strict=True), strict=True))
-    first = {}
+    """(units, units removed, new text) of each (id, text): units are compared as words, without digests."""
+    found = {key: plain_units(text) for key, text in rows}
+    first, out = {}, {}
     for key in sorted(found):
-        for i, (_, _, digest) in enumerate(found[key]):
-            first.setdefault(digest, (key, i))
-    return {key: [size < substring.WORDS or first[digest] == (key, i) for i, (_, size, digest) in enumerate(units)] for key, units in found.items()}
+        for i, (_, unit) in enumerate(found[key]):
+            first.setdefault(unit, (key, i))
+    for key, text in rows:
+        starts = [start for start, _ in found[key]]
+        stay = [first[unit] == (key, i) for i, (_, unit) in enumerate(found[key])]
+        parts = [text[a:b] for a, b, ok in zip(starts, [*starts[1:], len(text)], stay, strict=True) if ok]
+        out[key] = (len(stay), stay.count(False), text[: starts[0] if starts else len(text)] + "".join(parts))
+    return out
 
 
 def test_repeats_match_plain_version(spark, edge, empty):
@@ -140,7 +203,7 @@ def test_repeats_match_plain_version(spark, edge, empty):
     want = plain_dedup(rows)
     for r in substring.repeated_passages_removed(docs).collect():
         own = dict(rows)[r.doc_id]
-        assert r.n_units == len(want[r.doc_id]) and r.n_removed == want[r.doc_id].count(False)
+        assert (r.n_units, r.n_removed, r.text) == want[r.doc_id]
         assert "".join(own[k.start : k.end] for k in r.kept) == r.text
         if r.doc_id % 3 == 0 and r.doc_id:
             assert passage not in r.text and sum(w in r.text for w in [" ".join(passage.split()[i : i + 30]) for i in range(31)]) == 0

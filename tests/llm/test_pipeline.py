@@ -1,12 +1,13 @@
 """The pipeline's stages in order, and the registered names."""
 
 import os
+from collections import Counter
 
 import duckdb
 
 import __spark_entry__
 import corpus_pipeline
-from strandline.llm import common, queries
+from strandline.llm import common, packing, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,6 +34,35 @@ def test_stages(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_stages_of_odd_rows(spark, edge, tmp_path):
+    """Nulls, empty and long texts, copies, repeated rows and a null id go through all stages; without labels nothing is toxic."""
+    folder = f"file://{tmp_path}"
+    edge.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, ids = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.table(stage(spark, docs, folder), name)
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        ids[name] = Counter(r.doc_id for r in docs.collect())
+    assert ids["toxicity"] == Counter([0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, None])
+    assert ids["near_duplicates"] == ids["substring"] == ids["mixing"] == Counter([0, 1, 2, 3, 4, 4, 6, 7, 9, None])
+    token = packing.FastIds(packing.vocabulary())
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += len(token._encode(r.text or "")) // 4 + 1
+    got = Counter()
+    for r in corpus_pipeline.packing_stage(spark, docs, folder).collect():
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_stages_of_an_empty_table(spark, empty, tmp_path):
+    folder = f"file://{tmp_path}"
+    empty.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for f in os.listdir(SMALL):
