@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction over pages of the same host.
 
 A page becomes a tree in which runs of like siblings are folded into one node. The trees of
-the ``LAYOUTS`` most frequent layouts of a host are merged, one after another, by simple tree matching: children of
-two matched nodes are aligned so that the number of matched nodes in order becomes largest. The
+all layouts of a host are merged by simple tree matching: children of
+two matched nodes are aligned so that the number of matched nodes in order becomes largest. Layouts are
+merged one after another, the most frequent ones first; where a host has more than ``LAYOUTS``, that is done in groups of about so many, dealt by
+the layouts' hashes, then with the groups' trees in the same way, until one is left. The
 merged tree is the host's skeleton. Then every page of the host is aligned with it, and all
 pages count: how many have a node, how many of them hold the same text there, how long texts are. A
 node whose text is the same on ``CONSTANT`` of at least ``PAGES`` pages that have it is constant, and that text is template; nodes whose text
@@ -23,17 +25,21 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as markup
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common, words
 
-CONSTANT, PAGES, LAYOUTS = 0.6, 5, 64
+CONSTANT, PAGES = 0.6, 5
+#: Trees that a task merges one after another; a host's other trees are merged by other tasks.
+LAYOUTS = 64
 #: Share of a node's varying text that makes a node below it the content container.
 SHARE = 0.6
 #: Bytes of all wrappers up to which they travel with the tasks; beyond that they are joined.
@@ -202,39 +208,68 @@ def from_layout(text: str) -> list:
     return path[0]
 
 
-def _table(xs: list, ys: list, size: dict) -> list[list[int]]:
-    """Matched nodes of the first i and j children."""
-    table = [[0] * (len(ys) + 1)]
-    for x in xs:
-        last, row = table[-1], [0]
-        for j, y in enumerate(ys):
-            both = size.get((id(x), id(y)), 0)
-            row.append(max(last[j + 1], row[j], last[j] + both if both else 0))
-        table.append(row)
-    return table
+def _places(node: list, known: dict) -> dict[str, list[int]]:
+    """Places of a node's children by label; ``known`` keeps them by the node's identity."""
+    out = known.get(id(node))
+    if out is None:
+        out = known[id(node)] = {}
+        for j, c in enumerate(node[1]):
+            out.setdefault(c[0], []).append(j)
+    return out
+
 
+def _aligned(x: list, y: list, size: dict, places: dict) -> tuple[int, dict[int, list[tuple[int, int]]]]:
+    """(most nodes that children of two nodes match in order, pairs of children by the nodes matched up to and with them).
 
-def matching(a: list, b: list) -> tuple[dict, list[tuple[list, list]]]:
-    """(number of matched nodes below and with two nodes, by their identities, matched pairs) of two trees."""
+    Only children of one label are looked at: ``upto`` are the places in ``y`` where the most matched nodes so far, ``most``, grow. A
+    pair after others that match as much is not kept; :func:`matching` takes the first.
+    """
+    upto: list[int] = []
+    most: list[int] = []
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for i, c in enumerate(x[1]):
+        found = []
+        for j in places.get(c[0], ()):
+            at = bisect_left(upto, j)
+            found.append((j, size.get((id(c), id(y[1][j])), 1) + (most[at - 1] if at else 0)))
+        for j, n in found:
+            at = bisect_left(upto, j)
+            if at and most[at - 1] >= n:
+                continue
+            past = bisect_right(most, n, at)
+            if past == at and at < len(upto) and upto[at] == j:
+                continue
+            upto[at:past], most[at:past] = [j], [n]
+            ends.setdefault(n, []).append((i, j))
+    return (most[-1] if most else 0), ends
+
+
+def matching(a: list, b: list, known: dict | None = None) -> tuple[dict, list[tuple[list, list]]]:
+    """(number of matched nodes below and with two nodes, by their identities, if both have children, matched pairs) of two trees.
+
+    ``known`` keeps places of children of ``b`` for further calls with the same tree.
+    """
+    known = {} if known is None else known
     pairs = [(a, b)] if a[0] == b[0] else []
     for x, y in pairs:
-        pairs += [(c, d) for c in x[1] for d in y[1] if c[0] == d[0]]
+        places = _places(y, known)
+        pairs += [(c, y[1][j]) for c in x[1] if c[1] for j in places.get(c[0], ()) if y[1][j][1]]
     size: dict[tuple[int, int], int] = {}
     for x, y in reversed(pairs):
-        size[id(x), id(y)] = 1 + (_table(x[1], y[1], size)[-1][-1] if x[1] and y[1] else 0)
+        size[id(x), id(y)] = 1 + _aligned(x, y, size, _places(y, known))[0]
     out, todo = [], pairs[:1]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
-        table, i, j = _table(x[1], y[1], size), len(x[1]), len(y[1])
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((x[1][i], y[1][j]))
+        if not (x[1] and y[1]):
+            continue
+        n, ends = _aligned(x, y, size, _places(y, known))
+        last, upto = len(x[1]), len(y[1])
+        while n:
+            last, upto = next((i, j) for i, j in ends[n] if i < last and j < upto)
+            c, d = x[1][last], y[1][upto]
+            todo.append((c, d))
+            n -= size.get((id(c), id(d)), 1)
     return size, out
 
 
@@ -273,7 +308,7 @@ class Wrapper:
     """A host's skeleton, and by node's number the pages that have it, those with its most frequent text, characters, and that text's name."""
 
     def __init__(self, text: str, counts: list[tuple[int, int, int, int, int]]):
-        self.tree = from_layout(text)
+        self.tree, self.places = from_layout(text), {}
         self.counts = {number: rest for number, *rest in counts}
 
     def pages(self, node: list) -> int:
@@ -297,7 +332,7 @@ def template_nodes(own: list, wrapper: Wrapper) -> tuple[set[int], list[Node], d
 
     The slot of a node's identity is its number in the skeleton and the varying text below that.
     """
-    _, pairs = matching(own, wrapper.tree)
+    _, pairs = matching(own, wrapper.tree, wrapper.places)
     slot = {id(p): t for p, t in pairs}
     fixed: set[int] = set()
     slots: dict[int, tuple[int, float]] = {}
@@ -400,54 +435,88 @@ def _layouts(batches):
 
 
 def _skeletons(key, rows):
-    order = sorted(zip(rows.column("turn").to_pylist(), rows.column("layout").to_pylist(), strict=True))
-    return pa.table({"host": [key[0].as_py()], "skeleton": [skeleton([x for _, x in order])]})
+    """(host, n, layout): the merged tree of a group of trees, the most frequent ones first, and the pages behind it."""
+    times, texts = rows.column("n").to_pylist(), rows.column("layout").to_pylist()
+    order = sorted(zip(times, texts, strict=True), key=lambda x: (-x[0], hashlib.md5(x[1].encode()).hexdigest()))
+    return pa.table({"host": [key[0].as_py()], "n": [sum(times)], "layout": [skeleton([x for _, x in order])]})
+
+
+def _merged(trees: DataFrame) -> DataFrame:
+    """(host, skeleton) of all trees (host, n, layout) of a written table, group by group until each host has one."""
+    while True:
+        # groups become larger where there are so many trees that hosts with several groups could be too many to broadcast
+        bound = max(LAYOUTS, trees.count() // common.BROADCAST_ROWS)
+        sizes = trees.groupBy("host").agg(F.ceil(F.count("*") / bound).alias("groups"))
+        groups, most = sizes.agg(F.sum("groups"), F.max("groups")).first()
+        many = F.broadcast(sizes.where("groups > 1"))
+        group = F.coalesce(F.pmod(F.xxhash64("layout"), F.col("groups")), F.lit(0))
+        dealt = trees.join(many, "host", "left").select("host", group.alias("part"), "n", "layout")
+        out = dealt.groupBy("host", "part").applyInArrow(_skeletons, "host string, n long, layout string")
+        last, trees = trees, common.table(out, "skeletons", 7 + common.worth(groups or 0, 10))
+        common.drop(last)
+        if (most or 0) <= 1:
+            return trees.select("host", F.col("layout").alias("skeleton"))
 
 
 _COUNT = pa.schema([("host", pa.string()), ("digest", pa.int64()), ("node", pa.int32()), ("text", pa.int64()), ("chars", pa.int64())])
 
 
 def _counted(held: dict[str, str] | None):
-    """(host, digest, node, text, chars) of the nodes that pages share with their host's skeleton; no text is 0."""
+    """(host, digest, node, text, chars) of the nodes that pages share with their host's skeleton; no text is 0.
+
+    Without ``held`` skeletons come before the pages, see :func:`_dealt`.
+    """
 
     def run(batches):
-        trees: dict[str, list] = {}
+        trees: dict[str, tuple[list, dict]] = {}
         for batch in batches:
             out = []
             columns = [c.to_pylist() for c in batch.columns]
             for i, (host, digest, page) in enumerate(zip(*columns[:3], strict=True)):
-                text = held.get(host) if held is not None else columns[3][i]
-                if text not in trees:
+                if host not in trees:
                     if held is None:
                         trees.clear()
-                    trees[text] = from_layout(text)
-                _, pairs = matching(folded(parse(page)), trees[text])
-                for p, t in pairs:
-                    out.append((host, digest, t[2], text_name(p[3]), len(p[3])))
+                    trees[host] = (from_layout(columns[3][i] if held is None else held[host]), {})
+                if page is not None:
+                    tree, known = trees[host]
+                    _, pairs = matching(folded(parse(page)), tree, known)
+                    for p, t in pairs:
+                        out.append((host, digest, t[2], text_name(p[3]), len(p[3])))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, _COUNT.types, strict=True)], schema=_COUNT)
 
     return run
 
 
+def _dealt(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Rows of ``pages`` and of ``wrappers``, whose ``page`` is null: each host's wrapper stands before its pages.
+
+    Pages of a hot host are dealt over parts, and each part has its copy of the wrapper.
+    """
+    hot = F.broadcast(common.hot_keys(pages, ["host"]))
+    salts = F.coalesce("__salts", F.lit(1))
+    own = pages.join(hot, "host", "left").withColumn("__salt", F.pmod(F.xxhash64("page_id", "url", "digest"), salts).cast("int"))
+    other = wrappers.join(hot, "host", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    both = own.unionByName(other, allowMissingColumns=True)
+    return both.repartition("host", "__salt").sortWithinPartitions("host", "__salt", F.col("page").isNotNull())
+
+
 def _carried(df: DataFrame, column: str) -> bool:
     """Whether the texts of a written table are few enough to go with the tasks."""
     return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) <= CARRIED
 
 
 def host_wrappers(base: DataFrame) -> DataFrame:
-    """(host, skeleton, counts) from (host, digest, page), a written table; each distinct page counts once."""
-    pages = base.where("page <> ''").select("host", "digest", "page")
-    found = pages.mapInArrow(words.released(_layouts), "host string, digest long, layout string")
-    # of each layout the distinct pages, then the most frequent layouts
+    """(host, skeleton, counts) from (page_id, url, host, digest, page), a written table; each distinct page counts once."""
+    pages = base.where("page <> ''")
+    found = pages.select("host", "digest", "page").mapInArrow(words.released(_layouts), "host string, digest long, layout string")
     times = found.groupBy("host", "layout", "digest").agg(F.lit(1).alias("n")).groupBy("host", "layout").agg(F.count("*").alias("n"))
-    turn = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.md5("layout")))
-    first = times.withColumn("turn", turn).where(F.col("turn") <= LAYOUTS)
-    trees = common.table(first.groupBy("host").applyInArrow(_skeletons, "host string, skeleton string"), "skeletons", 8)
+    trees = _merged(common.table(times.select("host", "n", "layout"), "layouts"))
     schema = "host string, digest long, node int, text long, chars long"
     if _carried(trees, "skeleton"):
-        rows = pages.mapInArrow(words.released(_counted({r.host: r.skeleton for r in trees.collect()})), schema)  # at most CARRIED bytes
+        held = {r.host: r.skeleton for r in trees.collect()}  # at most CARRIED bytes
+        rows = pages.select("host", "digest", "page").mapInArrow(words.released(_counted(held)), schema)
     else:
-        rows = common.skew_join(pages, trees, ["host"], "digest").select("host", "digest", "page", "skeleton").mapInArrow(words.released(_counted(None)), schema)
+        rows = _dealt(pages, trees).select("host", "digest", "page", "skeleton").mapInArrow(words.released(_counted(None)), schema)
     texts = rows.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     best = F.max(F.when(F.col("text") != 0, F.struct("n", "text")))
     nodes = texts.groupBy("host", "node").agg(F.sum("n").alias("pages"), best.alias("best"), F.sum("chars").alias("chars"))
@@ -464,19 +533,22 @@ def _wrapper(text: str, counts: str) -> Wrapper:
 
 
 def _extracted(held: dict[str, tuple[str, str]] | None):
+    """Rows of the result; without ``held`` wrappers come before the pages, see :func:`_dealt`."""
+
     def run(batches):
         known: dict[str, Wrapper] = {}
         for batch in batches:
+            out = []
             columns = [c.to_pylist() for c in batch.columns]
-            texts = []
-            for i, (host, page) in enumerate(zip(columns[2], columns[3], strict=True)):
-                raw = held.get(host) if held is not None else (columns[4][i], columns[5][i])
-                if page and raw and raw[0] is not None and host not in known:
+            for i, (number, url, host, page) in enumerate(zip(*columns[:4], strict=True)):
+                if host not in known and (page is None if held is None else page):
                     if held is None:
                         known.clear()
-                    known[host] = _wrapper(*raw)
-                texts.append(main_text(page, known.get(host)) if page else "")
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
+                    known[host] = _wrapper(*((columns[4][i], columns[5][i]) if held is None else held[host]))
+                if page is not None:
+                    text = main_text(page, known[host]) if page else ""
+                    out.append((number, url, text, len(text)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, _OUT.types, strict=True)], schema=_OUT)
 
     return run
 
@@ -493,4 +565,4 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if _carried(wrappers, "skeleton") and _carried(wrappers, "counts"):
         held = {r.host: (r.skeleton, r.counts) for r in wrappers.collect()}  # at most 2 x CARRIED bytes
         return base.select("page_id", "url", "host", "page").mapInArrow(words.released(_extracted(held)), schema)
-    return common.skew_join(base, wrappers, ["host"], "digest", "left").select("page_id", "url", "host", "page", "skeleton", "counts").mapInArrow(words.released(_extracted(None)), schema)
+    return _dealt(base, wrappers).select("page_id", "url", "host", "page", "skeleton", "counts").mapInArrow(words.released(_extracted(None)), schema)

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import io
+import itertools
+import random
 from collections import Counter
 
 import numpy as np
@@ -99,6 +101,58 @@ def test_matching_is_the_largest_in_order():
     assert wrapper.layout(a) == "0 r\n1 z\n1 x\n2 y\n1 z\n1 x" or wrapper.layout(a) == "0 r\n1 x\n2 y\n1 z\n1 x\n2 y"
 
 
+def test_every_layout_shapes_the_skeleton(spark, monkeypatch):
+    """The notice of a layout that 100 others of its host exceed in frequency is template too, in one merge or in several rounds, carried or joined."""
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    page = "<div><h1>Odd {0}</h1><section class='x{1}'><p>own {0}</p></section><em class='y{1}'>Notice of {1}</em></div>"
+    rows = [page.format(f"{k}-{i}", name(k)) for k in range(100) for i in range(8)] + [page.format(f"100-{i}", name(100)) for i in range(6)]
+    rows += ["", None] + [page.format(f"few-{i}", "few") for i in range(7)]
+    table = spark.createDataFrame([(i, "http://small/" if i > 807 else "http://large/", p) for i, p in enumerate(rows)], "page_id long, url string, html string")
+    want = {i: f"Odd {p.split('</h1>')[0][13:]}\nown {p.split('</h1>')[0][13:]}" if p else "" for i, p in enumerate(rows)}
+    assert want[805] == "Odd 100-5\nown 100-5" and want[814] == "Odd few-6\nown few-6"
+    for layouts, carried in ((wrapper.LAYOUTS, wrapper.CARRIED), (3, wrapper.CARRIED), (3, 0)):
+        monkeypatch.setattr(wrapper, "LAYOUTS", layouts)
+        monkeypatch.setattr(wrapper, "CARRIED", carried)
+        monkeypatch.setattr(wrapper.common, "HOT_ROWS", 2000 if carried else 50)
+        got = wrapper.main_texts(table).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, (layouts, carried)
+
+
+def test_merging_in_rounds_keeps_every_node(spark):
+    """Trees of all layouts align in full with the one tree that rounds of merging leave a host."""
+    texts = [wrapper.layout(wrapper.folded(wrapper.parse("<div>" + "".join(f"<{t}><b>x</b></{t}>" for t in kinds) + "</div>"))) for kinds in itertools.permutations(["p", "h2", "ul", "pre", "table"])]
+    rows = [("h", 1 + i % 3, text) for i, text in enumerate(texts)] + [("one", 4, texts[7])]
+    seen = []
+    for n in (1, 9):
+        trees = wrapper.common.table(spark.createDataFrame(rows, "host string, n long, layout string").repartition(n), "test")
+        seen.append({r.host: r.skeleton for r in wrapper._merged(trees).collect()})
+    assert seen[0] == seen[1] and seen[0]["one"] == texts[7] and len(texts) > wrapper.LAYOUTS
+    whole, known = wrapper.from_layout(seen[0]["h"]), {}
+    for text in texts:
+        assert len(wrapper.matching(wrapper.from_layout(text), whole, known)[1]) == text.count("\n") + 1
+
+
+def test_matching_is_as_large_as_by_the_whole_table():
+    draw = random.Random(5)
+
+    def tree(depth):
+        return [draw.choice("abc"), [tree(depth - 1) for _ in range(draw.randint(0, 5))] if depth else [], 0, ""]
+
+    def largest(x, y):
+        if x[0] != y[0]:
+            return 0
+        table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, c in enumerate(x[1]):
+            for j, d in enumerate(y[1]):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + largest(c, d))
+        return 1 + table[-1][-1]
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        pairs = wrapper.matching(a, b)[1]
+        assert len(pairs) == largest(a, b) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big = "<p>" + "x" * 1500 + "</p>"
