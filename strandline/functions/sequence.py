@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,34 +45,73 @@ def mask_count(c: Column) -> Column:
 
 
 def apply_mask(sequence: Column, mask: Column) -> Column:
-    """``sequence`` with its masked characters in ASCII lower case; a null mask changes nothing."""
-    one = F.zip_with(F.split(sequence, ""), F.split(mask, ""), lambda s, m: F.when(m == "1", ascii_lower(s)).otherwise(s))
-    return F.when(mask.isNull(), sequence).otherwise(F.array_join(one, ""))
+    """``sequence`` with its masked characters in ASCII lower case; a null mask changes nothing. A Python stage."""
+    return _masked_text(sequence, mask)
 
 
-def flat_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first character, characters) of the runs of masked characters of a string column, in order."""
-    column = column.cast(pa.large_string())
+def apply_runs(sequence: Column, runs: Column) -> Column:
+    """``sequence`` with its runs (see :func:`mask_runs`) in ASCII lower case; null runs change nothing. A Python stage."""
+    return _run_text(sequence, runs)
+
+
+#: Bytes that a numpy pass takes at a time, since its temporaries are many times as large; a longer row is a slice alone.
+PASS_BYTES = 1 << 20
+
+
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a large_string column."""
     offs = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     whole = column.buffers()[2]
-    raw = np.frombuffer(whole, np.uint8)[offs[0] : offs[-1]] if whole is not None else np.zeros(0, np.uint8)
-    offs = offs - offs[0]
-    inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = raw > 0x60  # all bytes of a character beyond ASCII, too
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offs] = True  # a run ends with its row
-    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
-    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-    row = np.searchsorted(offs, start, "right") - 1
-    if len(raw) and raw.max() >= 0x80:
-        before = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        return row, before[start] - before[offs[row]], before[end] - before[start]
-    return row, start - offs[row], end - start
+    return offs - offs[0], np.frombuffer(whole, np.uint8)[offs[0] : offs[-1]] if whole is not None else np.zeros(0, np.uint8)
+
+
+def _slices(column: pa.Array):
+    """(first row, end) of slices of about ``PASS_BYTES`` bytes of a large_string column, at least one."""
+    offs = _text_bytes(column)[0]
+    first = 0
+    while first < len(column) or not first:
+        end = max(first + 1, int(np.searchsorted(offs, offs[min(first, len(column))] + PASS_BYTES, "right")) - 1)
+        yield first, min(end, len(column))
+        first = end
+
+
+def flat_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first character, characters) of the runs of masked characters of a string column, in order."""
+    offs, raw = _text_bytes(column.cast(pa.large_string()))
+    starts, ends, chars_at = [], [], []
+    plain, seen = not len(raw) or raw.max() < 0x80, 0
+    for a in range(0, len(raw) + 1, PASS_BYTES):
+        b = min(a + PASS_BYTES, len(raw))
+        inside = np.zeros(b - a + 2, bool)
+        low, high = max(a - 1, 0), min(b + 1, len(raw))
+        inside[low - a + 1 : high - a + 1] = raw[low:high] > 0x60  # all bytes of a character beyond ASCII, too
+        edge = np.zeros(b - a + 1, bool)
+        own = offs[np.searchsorted(offs, a) : np.searchsorted(offs, b, "right")]
+        edge[own - a] = True  # a run ends with its row
+        start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1])) + a
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1 + a
+        if not plain:  # places in characters from here on, those of the rows' first bytes beside them
+            before = np.concatenate(([0], np.cumsum((raw[a:b] & 0xC0) != 0x80))) + seen
+            chars_at.append((start, before[start - a], before[own[own < b] - a] if b < len(raw) else before[own - a]))
+            start, end, seen = before[start - a], before[end - a], int(before[-1])
+        starts.append(start)
+        ends.append(end)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    if plain:
+        row = np.searchsorted(offs, start, "right") - 1
+        return row, start - offs[row], end - start
+    row = np.searchsorted(offs, np.concatenate([x for x, _, _ in chars_at]), "right") - 1
+    return row, start - np.concatenate([x for _, _, x in chars_at])[row], end - start
 
 
 @arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("len", T.IntegerType())])))
 def mask_runs(texts: pa.Array) -> pa.Array:
-    """Runs of masked characters; null where there is none. One numpy pass a batch."""
+    """Runs of masked characters; null where there is none. A numpy pass for each slice of a batch."""
+    texts = texts.cast(pa.large_string())
+    return pa.concat_arrays([_mask_runs(texts.slice(a, b - a)) for a, b in _slices(texts)])
+
+
+def _mask_runs(texts: pa.Array) -> pa.Array:
     row, start, size = flat_runs(texts)
     runs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["start", "len"])
     count = np.bincount(row, minlength=len(texts))
@@ -80,6 +120,91 @@ def mask_runs(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32(), mask=none.to_numpy(zero_copy_only=False)), runs)
 
 
+def _lowered(texts: pa.Array, offs: np.ndarray, raw: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """``texts`` with the letters of the bytes that are ``inside`` in lower case."""
+    data = raw + ((inside & (raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
+    out = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offs)), pa.py_buffer(data)])
+    return pc.if_else(texts.is_valid(), out, None).cast(pa.string())
+
+
+def _places(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(byte of each character, and the end; None where all is ASCII), (characters before each row, and all of them)."""
+    if not len(raw) or raw.max() < 0x80:
+        return None, offs
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return at, np.searchsorted(at, offs)
+
+
+@arrow_udf(T.StringType())
+def _run_text(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    return pa.concat_arrays([_with_runs(texts.slice(a, b - a), runs.slice(a, b - a)) for a, b in _slices(texts)])
+
+
+def _with_runs(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    offs, raw = _text_bytes(texts)
+    at, chars = _places(offs, raw)
+    start, size = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in runs.flatten().flatten())
+    row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))
+    low = np.minimum(chars[row] + start, chars[row + 1])
+    high = np.minimum(low + size, chars[row + 1])
+    if at is not None:
+        low, high = at[low], at[high]
+    step = np.zeros(len(raw) + 1, np.int8)  # runs of a row do not touch, and each begins and ends once
+    step[low] += 1
+    step[high] -= 1
+    return _lowered(texts, offs, raw, np.cumsum(step[:-1], dtype=np.int8).astype(bool))
+
+
+@arrow_udf(T.StringType())
+def _masked_text(texts: pa.Array, masks: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    return pa.concat_arrays([_with_mask(texts.slice(a, b - a), masks.slice(a, b - a)) for a, b in _slices(texts)])
+
+
+def _with_mask(texts: pa.Array, masks: pa.Array) -> pa.Array:
+    offs, raw = _text_bytes(texts)
+    at, chars = _places(offs, raw)
+    size = np.diff(chars)
+    masks = pc.fill_null(masks, "").cast(pa.large_string())
+    own, marks = _text_bytes(masks)
+    held = np.diff(own)
+    if (len(marks) and marks.max() >= 0x80) or ((held != size) & (held > 0)).any():  # marks are cut or filled up to the text
+        masks = pa.array([m and "".join("01"[c == "1"] for c in m[:n]).ljust(n, "0") for m, n in zip(masks.to_pylist(), size.tolist(), strict=True)], pa.large_string())
+        own, marks = _text_bytes(masks)
+        held = np.diff(own)
+    inside = np.zeros(chars[-1], bool)
+    inside[np.repeat(held > 0, size)] = marks == 49
+    return _lowered(texts, offs, raw, inside if at is None else np.repeat(inside, np.diff(at)))
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def cut(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Parts of texts that follow each other, of ``sizes`` characters; one pass, whatever the number of parts."""
+    texts = texts.cast(pa.large_string())
+    return pa.concat_arrays([_cut(texts.slice(a, b - a), sizes.slice(a, b - a)) for a, b in _slices(texts)])
+
+
+def _cut(texts: pa.Array, sizes: pa.Array) -> pa.Array:
+    offs, raw = _text_bytes(texts)
+    at, chars = _places(offs, raw)
+    count = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(np.append(0, sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+    first = np.concatenate(([0], np.cumsum(count)))
+    shift = np.repeat(chars[:-1] - ends[first[:-1]], count)
+    most = np.repeat(chars[1:], count)
+    low, high = np.minimum(ends[:-1] + shift, most), np.minimum(ends[1:] + shift, most)
+    if at is not None:
+        low, high = at[low], at[high]
+    keep = np.concatenate(([0], np.cumsum(high - low)))
+    step = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(step, low, 1)
+    np.add.at(step, high, -1)
+    data = raw[np.cumsum(step[:-1]) > 0]  # all bytes, unless the sizes leave out an end
+    parts = pa.Array.from_buffers(pa.large_string(), len(low), [None, pa.py_buffer(keep.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), parts)
+
+
 def mask_run_rows(batches):
     """(id, start, len) rows of the runs of masked characters of Arrow batches (id, text)."""
     for batch in batches:

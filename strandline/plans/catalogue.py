@@ -123,6 +123,7 @@ def mask_runs(spark, sf_dir):
 
 
 def unmask_roundtrip(spark, sf_dir):
+    ship_package(spark)
     own = F.col("sequence")
     back = sq.apply_mask(sq.ascii_upper(own), sq.mask_or_null(own))
     return _plain(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(back != own).alias("mismatches"))

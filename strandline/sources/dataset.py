@@ -72,6 +72,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Records of a dataset; another version is refused."""
+    ship_package(spark)
     version = read_metadata(spark, path).select("version").first()
     if version is None or version[0] != VERSION:
         raise ValueError(f"{path}: version {version and version[0]} is not {VERSION}")
@@ -79,12 +80,8 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unmasked_text(mask: str = "mask", sequence: str = "sequence"):
-    """The sequence with its runs in lower case again."""
-    text = F.col(sequence)
-    ends = F.transform(F.col(mask), lambda m: m["start"] + m["len"])
-    before = F.concat(F.array(F.lit(0)), ends)
-    parts = F.zip_with(F.col(mask), F.slice(before, 1, F.size(mask)), lambda m, a: F.concat(F.substr(text, a + 1, m["start"] - a), sq.ascii_lower(F.substr(text, m["start"] + 1, m["len"]))))
-    return F.when(F.col(mask).isNull(), text).otherwise(F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(before, -1) + 1, F.length(text))))
+    """The sequence with its runs in lower case again, in one pass over it."""
+    return sq.apply_runs(F.col(sequence), F.col(mask))
 
 
 def subsequences(records: DataFrame, start: int, end: int, mask: bool = True):
