@@ -31,26 +31,33 @@ def _ranged(df: DataFrame, key: str, points: list[float]) -> DataFrame:
     return found.withColumn("__range", F.col("__bucket").cast("int")).drop("__number", "__bucket")
 
 
-def _bases(own: DataFrame, value: Column) -> list[int]:
-    """The sum of ``value`` over all ranges below each range, and the whole sum."""
-    totals = {r.range: r.n for r in own.groupBy(F.col("__range").alias("range")).agg(F.sum(value).alias("n")).collect()}  # a row a range
-    out = [0]
+def _bases(own: DataFrame, *values: Column) -> list[list[int]]:
+    """For each of ``values``, its sum over all ranges below each range, and the whole sum: one pass for all of them."""
+    sums = [F.sum(v).alias(f"n{i}") for i, v in enumerate(values)]
+    totals = {r.range: r for r in own.groupBy(F.col("__range").alias("range")).agg(*sums).collect()}  # a row a range
+    out = [[0] for _ in values]
     for i in range(max(totals, default=0) + 1):
-        out.append(out[-1] + (totals.get(i) or 0))
+        for j, sums_below in enumerate(out):
+            sums_below.append(sums_below[-1] + ((i in totals and totals[i][f"n{j}"]) or 0))
     return out
 
 
-def running_total(df: DataFrame, key: str, value: Column, name: str, points: list[float] | None = None) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows with a smaller numeric ``key`` (exclusive).
+def running_totals(df: DataFrame, key: str, values: dict[str, Column], points: list[float] | None = None) -> DataFrame:
+    """``df`` with the sum of each of ``values`` (by name) over all rows with a smaller numeric ``key`` (exclusive).
 
-    Totals by key range give each range its base; the window runs inside a range. It moves all
+    Totals by key range give each range its base; one window for all values runs inside a range. It moves all
     columns of ``df``: hand over narrow ones.
     """
-    own = _ranged(df.withColumn("__value", value.cast("long")), key, split_points(df, key) if points is None else points)
-    base = F.array(*[F.lit(n).cast("long") for n in _bases(own, F.col("__value"))])
+    own = _ranged(df.withColumns({f"__{n}": v.cast("long") for n, v in values.items()}), key, split_points(df, key) if points is None else points)
     inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.get(base, F.col("__range")) + F.coalesce(F.sum("__value").over(inside), F.lit(0))
-    return own.withColumn(name, total.cast("long")).drop("__range", "__value")
+    bases = _bases(own, *[F.col(f"__{n}") for n in values])
+    total = {n: (F.get(F.array(*[F.lit(x).cast("long") for x in b]), F.col("__range")) + F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0))).cast("long") for n, b in zip(values, bases, strict=True)}
+    return own.withColumns(total).drop("__range", *[f"__{n}" for n in values])
+
+
+def running_total(df: DataFrame, key: str, value: Column, name: str, points: list[float] | None = None) -> DataFrame:
+    """:func:`running_totals` of one value."""
+    return running_totals(df, key, {name: value}, points)
 
 
 def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", points: list[float] | None = None) -> DataFrame:
@@ -61,7 +68,7 @@ def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", points: list[fl
     """
     points = split_points(df, key) if points is None else points
     own = _ranged(df, key, points)
-    base = F.array(*[F.lit(n).cast("long") for n in _bases(own, F.lit(1))])
+    base = F.array(*[F.lit(n).cast("long") for n in _bases(own, F.lit(1))[0]])
     dealt = own.repartitionById(len(points) + 1, F.col("__range")).sortWithinPartitions(key)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return dealt.withColumn(name, (F.get(base, F.col("__range")) + place).cast("long")).drop("__range")
@@ -70,7 +77,7 @@ def with_ordinal(df: DataFrame, key: str, name: str = "ordinal", points: list[fl
 def row_at(df: DataFrame, key: str, ordinal: int, points: list[float] | None = None) -> DataFrame:
     """The row of an ordinal in the order of a unique numeric ``key``: a scan of the key finds its range, and only that is read."""
     points = split_points(df, key) if points is None else points
-    bases = _bases(_ranged(df.select(key), key, points), F.lit(1))
+    bases = _bases(_ranged(df.select(key), key, points), F.lit(1))[0]
     if not 0 <= ordinal < bases[-1]:
         return df.limit(0).withColumn("ordinal", F.lit(ordinal).cast("long"))
     at = max(i for i, n in enumerate(bases) if n <= ordinal)
@@ -86,35 +93,54 @@ def records(df: DataFrame, id_col: str, sequence: Column, header: Column | None
     return with_ordinal(own, "__key").withColumn("n_bytes", F.octet_length("sequence").cast("long")).select("ordinal", "id", "header", "sequence", "scores", "n_bytes")
 
 
+def _pieces(at: DataFrame, block_size: int, *keep: str) -> DataFrame:
+    """(*keep, piece, block, start, len) of stretches that begin at ``__at`` of their stream and hold ``__n`` characters."""
+    block = F.expr(f"sequence(__at div {block_size}, (__at + __n - 1) div {block_size})")
+    cut = at.where(F.col("__n") > 0).select(*keep, F.col("__at"), (F.col("__at") + F.col("__n")).alias("__to"), F.posexplode(block).alias("piece", "block"))
+    low, high = F.greatest("__at", F.col("block") * block_size), F.least("__to", (F.col("block") + 1) * block_size)
+    return cut.select(*keep, F.col("piece").cast("int").alias("piece"), F.col("block").cast("long").alias("block"), (low - F.col("block") * block_size).cast("long").alias("start"), (high - low).cast("long").alias("len"))
+
+
 def pack_locs(lengths: DataFrame, block_size: int, key: str = "ordinal", length: str = "n") -> DataFrame:
     """(key, piece, block, start, len): where a stream of records lies in blocks of ``block_size``."""
-    at = running_total(lengths.select(key, length), key, F.col(length), "__at").where(F.col(length) > 0)
-    block = F.expr(f"sequence(__at div {block_size}, (__at + {length} - 1) div {block_size})")
-    cut = at.select(key, F.col("__at"), (F.col("__at") + F.col(length)).alias("__to"), F.posexplode(block).alias("piece", "block"))
-    low, high = F.greatest("__at", F.col("block") * block_size), F.least("__to", (F.col("block") + 1) * block_size)
-    return cut.select(key, F.col("piece").cast("int").alias("piece"), F.col("block").cast("long").alias("block"), (low - F.col("block") * block_size).cast("long").alias("start"), (high - low).cast("long").alias("len"))
+    return _pieces(running_total(lengths.select(key, F.col(length).alias("__n")), key, F.col("__n"), "__at"), block_size, key)
 
 
 #: Streams of a record and their columns; a mask counts a character each, other streams bytes or characters of their text.
 STREAMS = ("ids", "headers", "sequence", "masking", "scores")
 
 
-def streams(records: DataFrame) -> DataFrame:
-    """(ordinal, stream, content) of (ordinal, id, header, sequence, scores): absent streams have no row."""
+def streams(records: DataFrame, *keep: str) -> DataFrame:
+    """(ordinal, *keep, stream, content) of (ordinal, id, header, sequence, scores): absent streams have no row."""
     sequence = F.col("sequence")
     parts = [F.col("id"), F.col("header"), sq.ascii_upper(sequence), sq.mask_or_null(sequence), F.col("scores")]
     held = F.array(*[F.struct(F.lit(n).alias("stream"), c.alias("content")) for n, c in zip(STREAMS, parts, strict=True)])
-    return records.select("ordinal", F.explode(held).alias("s")).select("ordinal", "s.*").where("content <> ''")
+    return records.select("ordinal", *keep, F.explode(held).alias("s")).select("ordinal", *keep, "s.*").where("content <> ''")
+
+
+def _sizes(ident: Column, header: Column, sequence: Column, scores: Column) -> list[Column]:
+    """Characters of each stream of a record, 0 where it is absent; a mask has one for each of its sequence."""
+    size = [F.length(ident), F.length(header), F.length(sequence), F.when(sq.is_masked(sequence), F.length(sequence)), F.length(scores)]
+    return [F.coalesce(n, F.lit(0)).cast("long").alias(s) for s, n in zip(STREAMS, size, strict=True)]
+
+
+def stream_sizes(df: DataFrame, id_col: str, sequence: Column, header: Column | None = None, scores: Column | None = None) -> DataFrame:
+    """(ordinal, ids, headers, ...), the characters of each stream, of a table with a unique numeric id; its texts are read, but not moved."""
+    none = F.lit(None).cast("string")
+    own = df.select(F.col(id_col).alias("__key"), *_sizes(F.col(id_col).cast("string"), none if header is None else header, sequence, none if scores is None else scores))
+    return with_ordinal(own, "__key").select("ordinal", *STREAMS)
+
+
+def size_locs(sizes: DataFrame, block_size: int) -> DataFrame:
+    """(ordinal, stream, piece, block, start, len) of :func:`stream_sizes`: :func:`pack_locs` for each stream of its own, all in one pass."""
+    at = running_totals(sizes, "ordinal", {f"__at_{s}": F.col(s) for s in STREAMS})
+    held = F.array(*[F.struct(F.lit(s).alias("stream"), F.col(f"__at_{s}").alias("__at"), F.col(s).alias("__n")) for s in STREAMS])
+    return _pieces(at.select("ordinal", F.explode(held).alias("s")).select("ordinal", "s.*"), block_size, "ordinal", "stream")
 
 
 def stream_locs(records: DataFrame, block_size: int) -> DataFrame:
-    """(ordinal, stream, piece, block, start, len): :func:`pack_locs` for each stream of its own."""
-    size = streams(records).select("ordinal", "stream", F.length("content").cast("long").alias("n"))
-    parts = [pack_locs(size.where(F.col("stream") == s), block_size).withColumn("stream", F.lit(s)) for s in STREAMS]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("ordinal", "stream", "piece", "block", "start", "len")
+    """:func:`size_locs` of (ordinal, id, header, sequence, scores)."""
+    return size_locs(records.select("ordinal", *_sizes(*[F.col(c) for c in ("id", "header", "sequence", "scores")])), block_size)
 
 
 def stream_blocks(locs: DataFrame, records: DataFrame) -> DataFrame:

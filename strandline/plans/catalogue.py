@@ -311,7 +311,9 @@ def stream_files(spark, sf_dir):
 
 
 def stream_locs(spark, sf_dir):
-    return addressing.stream_locs(_records(spark, sf_dir), BLOCK)
+    """Only the sizes of the streams are numbered and moved."""
+    sizes = addressing.stream_sizes(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), F.concat_ws(" ", "lang", "source"))
+    return addressing.size_locs(sizes, BLOCK)
 
 
 def records_by_locs(spark, sf_dir):
