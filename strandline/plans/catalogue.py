@@ -323,7 +323,7 @@ def records_by_locs(spark, sf_dir):
 
 
 def presence(spark, sf_dir):
-    return addressing.presence(addressing.stream_locs(_records(spark, sf_dir), BLOCK))
+    return addressing.presence(stream_locs(spark, sf_dir))
 
 
 def pointer_ranges(spark, sf_dir):
