@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as sq
+from strandline.session import scratch
 
 #: Rows of a range of the key, which is numbered or summed in one task: at most, and at least where cores are free.
 RANGE_ROWS, LEAST_ROWS = 200_000, 1000
@@ -166,13 +167,16 @@ def presence(locs: DataFrame) -> DataFrame:
 
 
 def pointer_ranges(locs: DataFrame) -> DataFrame:
-    """(ordinal, stream, first, pointers): where a record's pointers lie in its stream's vector of pointers, by ordinal."""
-    counts = locs.groupBy("ordinal", "stream").agg(F.count("*").alias("pointers"))
-    parts = [running_total(counts.where(F.col("stream") == s), "ordinal", F.col("pointers"), "first") for s in STREAMS]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole.select("ordinal", "stream", "first", "pointers")
+    """(ordinal, stream, first, pointers): where a record's pointers lie in its stream's vector of pointers, by ordinal.
+
+    Pointers are counted in one pass; a row a record is kept as a file, from which all ranges come.
+    """
+    spark, path = locs.sparkSession, scratch(locs.sparkSession)
+    counts = locs.groupBy("ordinal").agg(*[F.count_if(F.col("stream") == s).alias(s) for s in STREAMS])
+    counts.write.parquet(path)
+    first = running_totals(spark.read.schema(counts.schema).parquet(path), "ordinal", {f"__at_{s}": F.col(s) for s in STREAMS})
+    held = F.array(*[F.struct(F.lit(s).alias("stream"), F.col(f"__at_{s}").alias("first"), F.col(s).alias("pointers")) for s in STREAMS])
+    return first.select("ordinal", F.explode(held).alias("s")).select("ordinal", "s.*").where("pointers > 0")
 
 
 def stream_bytes(records: DataFrame) -> DataFrame:

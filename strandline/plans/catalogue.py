@@ -327,7 +327,7 @@ def presence(spark, sf_dir):
 
 
 def pointer_ranges(spark, sf_dir):
-    return addressing.pointer_ranges(addressing.stream_locs(_records(spark, sf_dir), BLOCK))
+    return addressing.pointer_ranges(stream_locs(spark, sf_dir))
 
 
 def stream_bytes(spark, sf_dir):
