@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as sq
-from strandline.session import scratch
+from strandline.session import scratch, ship_package
 
 #: Rows of a range of the key, which is numbered or summed in one task: at most, and at least where cores are free.
 RANGE_ROWS, LEAST_ROWS = 200_000, 1000
@@ -145,19 +145,22 @@ def stream_locs(records: DataFrame, block_size: int) -> DataFrame:
 
 
 def stream_blocks(locs: DataFrame, records: DataFrame) -> DataFrame:
-    """(stream, block, data) of the streams' contents."""
-    before = Window.partitionBy("ordinal", "stream").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = locs.withColumn("at", F.coalesce(F.sum("len").over(before), F.lit(0)))
-    piece = placed.join(streams(records), ["ordinal", "stream"]).select("stream", "block", "start", F.substr("content", (F.col("at") + 1).cast("int"), F.col("len").cast("int")).alias("s"))
+    """(stream, block, data) of the streams' contents. A record's pointers meet it once; each content is cut in one pass."""
+    ship_package(records.sparkSession)
+    held = locs.groupBy("ordinal").agg(F.collect_list(F.struct("stream", "piece", "block", "start", "len")).alias("p"))
+    own = streams(records.join(held, "ordinal"), "p").select("stream", "content", F.array_sort(F.filter("p", lambda x: x["stream"] == F.col("stream"))).alias("p"))
+    parts = own.select("stream", "p", sq.cut(F.col("content"), F.col("p.len")).alias("s"))
+    piece = parts.select("stream", F.explode(F.arrays_zip("p", "s")).alias("x")).select("stream", "x.p.block", "x.p.start", "x.s")
     return piece.groupBy("stream", "block").agg(F.array_sort(F.collect_list(F.struct("start", "s"))).alias("p")).select("stream", "block", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("data"))
 
 
 def records_by_locs(locs: DataFrame, block_table: DataFrame) -> DataFrame:
     """(ordinal, id, header, sequence, scores), masks applied, of the records that pointer rows address."""
+    ship_package(locs.sparkSession)
     part = locs.join(block_table, ["stream", "block"]).select("ordinal", "stream", "piece", F.substr("data", (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("s"))
-    whole = part.groupBy("ordinal", "stream").agg(F.array_sort(F.collect_list(F.struct("piece", "s"))).alias("p"))
-    whole = whole.select("ordinal", "stream", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("content"))
-    rows = whole.groupBy("ordinal").agg(*[F.max(F.when(F.col("stream") == s, F.col("content"))).alias(s) for s in STREAMS])
+    whole = part.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("stream", "piece", "s"))).alias("p"))
+    of = lambda stream: F.filter("p", lambda x: x["stream"] == stream)
+    rows = whole.select("ordinal", *[of(s).alias(s) for s in STREAMS]).select("ordinal", *[F.when(F.size(s) > 0, F.array_join(F.transform(s, lambda x: x["s"]), "")).alias(s) for s in STREAMS])
     return rows.select("ordinal", F.col("ids").alias("id"), F.col("headers").alias("header"), sq.apply_mask(F.col("sequence"), F.col("masking")).alias("sequence"), "scores")
 
 

@@ -317,9 +317,8 @@ def stream_locs(spark, sf_dir):
 
 
 def records_by_locs(spark, sf_dir):
-    own = _records(spark, sf_dir)
-    locs = addressing.stream_locs(own, BLOCK)
-    return addressing.records_by_locs(locs, addressing.stream_blocks(locs, own)).select("ordinal", "id", "header", "sequence")
+    locs = stream_locs(spark, sf_dir)
+    return addressing.records_by_locs(locs, addressing.stream_blocks(locs, _records(spark, sf_dir))).select("ordinal", "id", "header", "sequence")
 
 
 def presence(spark, sf_dir):
