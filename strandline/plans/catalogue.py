@@ -258,8 +258,8 @@ def stats(spark, sf_dir):
 
 
 def _letters(spark, sf_dir):
-    """Records of letters only, with a quality for each: what FASTA and FASTQ can hold."""
-    own = _records(spark, sf_dir).withColumn("sequence", F.regexp_replace("sequence", "[^A-Za-z]", ""))
+    """Records of letters only, with a quality for each: what FASTA and FASTQ can hold. Files hold no ordinals, so none are made."""
+    own = _plain(spark, sf_dir).withColumn("sequence", F.regexp_replace("sequence", "[^A-Za-z]", ""))
     return own.where("sequence <> ''").withColumn("scores", F.translate("sequence", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "!#$%&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUV"))
 
 
