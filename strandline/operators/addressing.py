@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as sq
-from strandline.session import scratch, ship_package
+from strandline.session import scratch, small_batches
 
 #: Rows of a range of the key, which is numbered or summed in one task: at most, and at least where cores are free.
 RANGE_ROWS, LEAST_ROWS = 200_000, 1000
@@ -146,7 +146,7 @@ def stream_locs(records: DataFrame, block_size: int) -> DataFrame:
 
 def stream_blocks(locs: DataFrame, records: DataFrame) -> DataFrame:
     """(stream, block, data) of the streams' contents. A record's pointers meet it once; each content is cut in one pass."""
-    ship_package(records.sparkSession)
+    small_batches(records.sparkSession)
     held = locs.groupBy("ordinal").agg(F.collect_list(F.struct("stream", "piece", "block", "start", "len")).alias("p"))
     own = streams(records.join(held, "ordinal"), "p").select("stream", "content", F.array_sort(F.filter("p", lambda x: x["stream"] == F.col("stream"))).alias("p"))
     parts = own.select("stream", "p", sq.cut(F.col("content"), F.col("p.len")).alias("s"))
@@ -156,7 +156,7 @@ def stream_blocks(locs: DataFrame, records: DataFrame) -> DataFrame:
 
 def records_by_locs(locs: DataFrame, block_table: DataFrame) -> DataFrame:
     """(ordinal, id, header, sequence, scores), masks applied, of the records that pointer rows address."""
-    ship_package(locs.sparkSession)
+    small_batches(locs.sparkSession)
     part = locs.join(block_table, ["stream", "block"]).select("ordinal", "stream", "piece", F.substr("data", (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("s"))
     whole = part.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("stream", "piece", "s"))).alias("p"))
     of = lambda stream: F.filter("p", lambda x: x["stream"] == stream)

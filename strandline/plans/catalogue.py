@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import codecs
 from strandline.functions import sequence as sq
 from strandline.operators import addressing, lookup, scan
-from strandline.session import scratch, ship_package
+from strandline.session import scratch, ship_package, small_batches
 from strandline.sources import dataset, fasta, fastq
 
 BLOCK = 512
@@ -116,14 +116,12 @@ def mask_count(spark, sf_dir):
 
 def mask_runs(spark, sf_dir):
     """Runs leave as rows, in small batches."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    small_batches(spark)
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").mapInArrow(sq.mask_run_rows, "doc_id long, start long, len long")
 
 
 def unmask_roundtrip(spark, sf_dir):
-    ship_package(spark)
+    small_batches(spark)
     own = F.col("sequence")
     back = sq.apply_mask(sq.ascii_upper(own), sq.mask_or_null(own))
     return _plain(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(back != own).alias("mismatches"))

@@ -53,3 +53,10 @@ def ship_package(spark: SparkSession) -> None:
                     archive.write(path, os.path.join("strandline", os.path.relpath(path, root)))
     context.addPyFile(target)
     setattr(context, _SHIPPED, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ship this package, and keep Arrow batches small, so that a Python worker's memory is bounded by bytes, not rows."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

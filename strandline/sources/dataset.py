@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions import codecs
 from strandline.functions import sequence as sq
 from strandline.operators import lookup
-from strandline.session import ship_package
+from strandline.session import small_batches
 from strandline.sources import fasta, fastq
 
 RECORDS = "ordinal long, id string, header string, sequence string, mask array<struct<start:int,len:int>>, scores string, n_bytes long"
@@ -27,7 +27,7 @@ def write_dataset(records: DataFrame, path: str, preset: str = "default", codec:
     prune lookups, and a table of ids in order of ordinals is written beside them. ``bloom_ids``
     adds bloom filters for that many ids a row group.
     """
-    ship_package(records.sparkSession)
+    small_batches(records.sparkSession)
     choice = codecs.resolve(preset, codec, level, block_kib)
     rows = records.select("ordinal", "id", "header", sq.ascii_upper(F.col("sequence")).alias("sequence"), sq.mask_runs("sequence").alias("mask"), "scores", F.octet_length("sequence").cast("long").alias("n_bytes"))
     # raw records are sorted, and become columns of a dataset where they are written
@@ -72,7 +72,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Records of a dataset; another version is refused."""
-    ship_package(spark)
+    small_batches(spark)
     version = read_metadata(spark, path).select("version").first()
     if version is None or version[0] != VERSION:
         raise ValueError(f"{path}: version {version and version[0]} is not {VERSION}")
